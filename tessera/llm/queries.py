@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..session import table
 from . import p01_canonical_text as p01
 from . import p02_formatting_duplicates as p02
+from . import p03_name_variants as p03
+from . import p04_cross_source as p04
+from . import p05_incremental as p05
 from . import p06_reference_mapping as p06
 from . import p07_survivors as p07
 from . import p08_tokenize as p08
@@ -37,6 +40,26 @@ def p2_records(spark: SparkSession, d: str) -> DataFrame:
     return p02.records(table(spark, d, "contacts"))
 
 
+def _people_tables(spark: SparkSession, d: str) -> list[DataFrame]:
+    return [table(spark, d, t) for t in ("contacts", "hits", "firm_ref", "short_names")]
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p03.found(*_people_tables(spark, d))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p04.matched_rows(*_people_tables(spark, d)).select("contact_id", "hit_id")
+
+
+def p4_matches(spark: SparkSession, d: str) -> DataFrame:
+    return p04.matched_rows(*_people_tables(spark, d))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p05.hits_found(table(spark, d, "contacts"), table(spark, d, "hits"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p06.firms_found(table(spark, d, "contacts"), table(spark, d, "firm_ref"))
 
@@ -73,4 +96,4 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     return p10.shares(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_canonical, p2_found, p2_records, p6_found, p7_found, p7_current, p8_ids, p9_found, p9_clean, p10_found, p10_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_canonical, p2_found, p2_records, p3_found, p4_found, p4_matches, p5_found, p6_found, p7_found, p7_current, p8_ids, p9_found, p9_clean, p10_found, p10_shares)}
