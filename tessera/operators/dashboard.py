@@ -20,7 +20,8 @@ def with_firm(contacts: DataFrame) -> DataFrame:
 
 
 def firm_rollup(contacts: DataFrame) -> DataFrame:
-    """Ten measures per firm and a TOTAL row whose ratios are computed again, not summed."""
+    """Ten measures per firm and a TOTAL row whose ratios are computed again, not summed. An empty
+    table gives no row."""
     rows = with_firm(named(contacts)).select("firm", "met", "mtgs", "invested", "aum", n_invited().alias("i"), n_attended().alias("a"))
     out = rows.rollup("firm").agg(
         F.grouping("firm").alias("is_total"),

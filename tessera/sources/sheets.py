@@ -10,6 +10,9 @@ from ..functions.text import join_notes, person_key, recode, strip, without_plac
 from ..model import CONTACT, FIRM_ALIASES, NOT_INVITED, UNKNOWN
 
 
+SKIPPED = ("deg",)  # firm cells that are a slip
+
+
 def first_match(rules: list[tuple[Column, Column | str]], otherwise: Column | str | None) -> Column:
     """A decision table: the value of the first rule that holds; a null condition does not hold."""
     out = otherwise if isinstance(otherwise, Column) else F.lit(otherwise)
@@ -119,8 +122,9 @@ def fill_down(df: DataFrame, column: str, order: str, ignore: tuple[str, ...] =
 def branch_directors(raw: DataFrame) -> DataFrame:
     """Raw columns firm (sparse), branch, director, consultant, li_contacted, note, li_msg, email, note2: up
     to two contacts per row."""
-    rows = fill_down(raw.select([strip(F.col(c)).alias(c) if t == "string" else F.col(c) for c, t in raw.dtypes]), "firm", "row_no", ignore=("deg",))
-    rows = rows.filter("firm is null or firm <> 'deg'")
+    rows = raw.select([strip(F.col(c)).alias(c) if t == "string" else F.col(c) for c, t in raw.dtypes]).withColumn("__typed", strip(F.col("firm")))
+    # such a row is skipped, and only after the carrying
+    rows = fill_down(rows, "firm", "row_no", ignore=SKIPPED).filter(F.col("__typed").isNull() | ~F.col("__typed").isin(*SKIPPED)).drop("__typed")
     crm = F.coalesce(F.col("li_msg") == "already in CRM", F.lit(False))
     li = recode(F.col("li_contacted"), {"Can't find LinkedIn": "No LinkedIn found"})
     li = F.when((crm | F.coalesce(F.col("li_msg") == "Yes", F.lit(False))) & (F.coalesce(li, F.lit("No")) == "No"), "Yes").otherwise(li)
