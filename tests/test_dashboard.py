@@ -4,6 +4,7 @@ import datetime
 import zipfile
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -126,7 +127,7 @@ def test_queries_equal_sql(spark, name):
     assert cols == sorted(want.columns)
 
     def flat(df):
-        return sorted(tuple("-" if pd.isna(v) else f"{v:.6f}" if isinstance(v, float) else str(v)[:19] for v in r) for r in df[cols].astype(object).itertuples(index=False))
+        return sorted(tuple("-" if pd.isna(v) else f"{float(v):.6f}" if isinstance(v, (int, float, np.number)) else str(v)[:19] for v in r) for r in df[cols].astype(object).itertuples(index=False))
 
     assert [tuple(x.removesuffix(" 00:00:00") for x in r) for r in flat(got)] == [tuple(x.removesuffix(" 00:00:00") for x in r) for r in flat(want)]
 
