@@ -33,7 +33,7 @@ LATIN = (
 LOOK_ALIKE = {ord(a): b for a, b in zip(FOREIGN, LATIN, strict=True)}
 
 # Texts of only these characters are already canonical; the test stays in the JVM.
-PLAIN = r"^[\x09\x0a\x0d\x20-\x7eÀ-ſ‘-‟]*$"
+PLAIN = r"^[\x09\x0a\x0d\x20-\x7eÀ-ıĴ-ľŁ-ňŊ-ž‘-‟]*$"
 
 # Format characters that are drawn, and marks and fillers that are not.
 DRAWN_FORMAT = {*range(0x600, 0x606), 0x6DD, 0x70F, 0x890, 0x891, 0x8E2, 0x110BD, 0x110CD}
@@ -64,7 +64,7 @@ def unstable_run() -> re.Pattern[str]:
     ranges: list[list[int]] = []
     for i in range(sys.maxunicode + 1):
         c = chr(i)
-        if 0xD800 <= i <= 0xDFFF or i < 0x80 and (i >= 32 or c in "\t\n\r"):
+        if 0xD800 <= i <= 0xDFFF or 32 <= i < 0x7F or c in "\t\n\r":
             continue
         bad = i in second or unicodedata.combining(c) != 0 or invisible(c) or odd_blank(c)
         if not bad and not unicodedata.is_normalized("NFKC", c):

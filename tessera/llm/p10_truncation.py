@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -49,22 +50,30 @@ PAIRS = {")": "(", "]": "[", "}": "{", "”": "“", "»": "«"}
 
 
 def open_at_end(text: str) -> str:
-    """What the stack automaton still holds at the end: its open quotes and brackets."""
+    """What the stack automaton still holds at the end: its open quotes and brackets. A closing sign takes
+    everything off above its opening one; one without an opening is passed over."""
     stack: list[str] = []
+    held: Counter[str] = Counter()
+
+    def close(openings: str) -> None:
+        while True:
+            top = stack.pop()
+            held[top] -= 1
+            if top in openings:
+                return
+
     for m in STRUCTURE.finditer(text):
         c = m[0]
-        if c == '"':
-            if '"' in stack:
-                del stack[len(stack) - 1 - stack[::-1].index('"') :]
-            elif m.start() == 0 or not text[m.start() - 1].isdigit():
-                stack.append(c)
-        elif c == "“" and ("“" in stack or "„" in stack):
-            del stack[max(k for k, x in enumerate(stack) if x in "“„") :]
+        if c == '"' and held['"']:
+            close('"')
+        elif c == "“" and held["“"] + held["„"]:
+            close("“„")
         elif c in PAIRS:
-            if PAIRS[c] in stack:
-                del stack[len(stack) - 1 - stack[::-1].index(PAIRS[c]) :]
-        else:
+            if held[PAIRS[c]]:
+                close(PAIRS[c])
+        elif c != '"' or m.start() == 0 or not text[m.start() - 1].isdigit():
             stack.append(c)
+            held[c] += 1
     return "".join(stack)
 
 

@@ -24,6 +24,9 @@ FURNITURE = frozenset(
 )
 
 
+LONG = 8  # words; beyond, names are compared word for word
+
+
 def fold(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
 
@@ -111,6 +114,9 @@ def align(a: list[str], b: list[str]) -> tuple[float, int, str]:
     (0, 0, '') if a word stays alone."""
     turned = len(a) > len(b)
     short, long = (b, a) if turned else (a, b)
+    if len(short) > LONG:  # not a person's usual name: the same words, whatever their number
+        same = len(set(short) & set(long))
+        return (float(same), same, "") if same == len(set(short)) else (0.0, 0, "")
     # an initial in a longer name stands for none of the shorter name's words
     grid = [[0.0 if len(y) == 1 < len(x) and len(short) < len(long) else similar(x, y) for y in long] for x in short]
     best: tuple[float, int, tuple[int, ...]] = (0.0, 0, ())
@@ -125,18 +131,7 @@ def align(a: list[str], b: list[str]) -> tuple[float, int, str]:
             if s and not used >> j & 1:
                 go(i + 1, used | 1 << j, total + s, whole + (s > 0.5), (*at, j))
 
-    if len(short) <= 6:
-        go(0, 0, 0.0, 0, ())
-    else:  # very long names: each word takes the best word left
-        used, at, total, whole = set(), [], 0.0, 0
-        for row in grid:
-            s, j = max(((s, -j) for j, s in enumerate(row) if j not in used), default=(0.0, 0))
-            if not s:
-                return 0.0, 0, ""
-            used.add(-j)
-            at.append(-j)
-            total, whole = total + s, whole + (s > 0.5)
-        best = (total, whole, tuple(at))
+    go(0, 0, 0.0, 0, ())
     if len(best[2]) < max(2, len(short)):
         return 0.0, 0, ""
     word = ""
