@@ -160,10 +160,12 @@ def token_keys(toks: Column) -> Column:
 def name_links(records: DataFrame) -> DataFrame:
     """a, b of records (rec, space, firm, toks) of one space and firm whose names align. A name with an
     initial only counts where all full names it could stand for agree."""
-    keyed = records.filter("firm is not null and size(toks) >= 2").select("rec", "space", "firm", "toks", F.explode(token_keys(F.col("toks"))).alias("k"))
-    keyed = keyed.select("rec", "toks", F.xxhash64("space", "firm", "k").alias("key"))
-    right = keyed.select(F.col("rec").alias("b"), F.col("toks").alias("bt"), "key")
-    pairs = keyed.select(F.col("rec").alias("a"), F.col("toks").alias("at"), "key").join(right, "key").filter("a < b").select("a", "b", "at", "bt").distinct()
+    named = records.filter("firm is not null and size(toks) >= 2")
+    keyed = named.select("rec", "space", "firm", F.explode(token_keys(F.col("toks"))).alias("k")).select("rec", F.xxhash64("space", "firm", "k").alias("key"))
+    # only ids meet under a key; the words are fetched for the pairs found
+    met = keyed.select(F.col("rec").alias("a"), "key").join(keyed.select(F.col("rec").alias("b"), "key"), "key").filter("a < b").select("a", "b").distinct()
+    words = named.select("rec", "toks")
+    pairs = met.join(words.select(F.col("rec").alias("a"), F.col("toks").alias("at")), "a").join(words.select(F.col("rec").alias("b"), F.col("toks").alias("bt")), "b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
