@@ -154,16 +154,18 @@ class Reference:
     def find(self, text: str, threshold: int = THRESHOLD) -> tuple[int, int]:
         """(distance, firm_id) of the nearest entry, (threshold + 1, -1) if there is none or a tie."""
         best: dict[int, int] = {}
+        tried: set[str] = set()
         for w in self.readings(text):
-            head = w[0] if len(w) == 1 else None
-            if head in self.initials and len(head) <= 5:
-                best[self.initials[head]] = 0
-            plain, full = "".join(w), "".join([w[0], *map(self.write_out, w[1:])])
-            for key in {plain, full}:
-                most = min(threshold, max(0, len(key) // 5))
-                for d, at in self.tree.within(key, most):
-                    f = self.owner[at]
-                    best[f] = min(best.get(f, 99), d)
+            if len(w) == 1 and w[0] in self.initials and len(w[0]) <= 5:
+                return 0, self.initials[w[0]]
+            for key in ("".join(w), "".join([w[0], *map(self.write_out, w[1:])])):
+                if key in self.owner:  # nothing is nearer than the key itself
+                    return 0, self.owner[key]
+                tried.add(key)
+        for key in tried:
+            for d, at in self.tree.within(key, min(threshold, len(key) // 5)):
+                f = self.owner[at]
+                best[f] = min(best.get(f, 99), d)
         if not best:
             return threshold + 1, -1
         d = min(best.values())
