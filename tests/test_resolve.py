@@ -97,3 +97,15 @@ def test_aliases(spark):
     assert [r[0] for r in df.select(sheets.firm(F.col("firm"), {"acme ltd": "Acme"})).collect()] == want
     alias = spark.createDataFrame([("ACME LTD", "Acme")], "alias string, canonical string")
     assert sorted(r.firm for r in sheets.join_aliases(df, "firm", alias).collect()) == sorted(want)
+
+
+def test_written_and_discarded(spark):
+    import os
+
+    from tessera.session import discard, written
+
+    df = written(spark.range(5), "t")
+    path = df._written_at.removeprefix("file://")
+    assert df.count() == 5 and os.path.exists(path)
+    discard(df, spark.range(1))
+    assert not os.path.exists(path)
