@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import discard, written
 from .mailboxes import DESKS, domain_of, forest_keys, local_of, mailbox, same_but_slip
 from .p01_canonical_text import canonical
 from .p02_formatting_duplicates import complete_address
@@ -198,17 +198,21 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 30) -> DataFram
     """rec, person: the smallest record id that each record is connected with. Labels move along edges
     and then to the label's label; each round is a written table."""
     both = written(edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = nodes.select("rec").distinct().withColumn("person", F.col("rec"))
+    labels, last = nodes.select("rec").distinct().withColumn("person", F.col("rec")), None
     for _ in range(rounds):
         near = both.join(labels, both.b == labels.rec).groupBy("a").agg(F.min("person").alias("least"))
         step = labels.join(near, labels.rec == near.a, "left").select("rec", F.col("person").alias("was"), F.least("person", F.coalesce("least", "person")).alias("mid"))
         jump = step.select(F.col("rec").alias("mid"), F.col("mid").alias("far"))
         new = written(step.join(jump, "mid", "left").select("rec", "was", F.least("mid", F.coalesce("far", "mid")).alias("person")), "labels")
         labels = new.select("rec", "person")
+        if last is not None:
+            discard(last)
+        last = new
         if new.filter("was <> person").isEmpty():
             break
     else:
         raise RuntimeError("components did not settle")
+    discard(both)
     return labels
 
 

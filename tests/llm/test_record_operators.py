@@ -220,9 +220,9 @@ def test_persons(spark):
     t = tables(spark, c, h)
     got = {tuple(r) for r in p03.found(*t).collect()}
     assert got == {(1, 2), (1, 3), (2, 3), (2, 5), (3, 5), (11, 12), (100, 102), (101, 102)}
-    matched = {tuple(r)[:2] for r in p04.matched_rows(*t).collect()}
-    assert matched == {(i, j) for i in (1, 2, 3, 5) for j in (100, 101, 102, 104, 106)}
-    assert all(0 < r.confidence <= 1 for r in p04.matched_rows(*t).collect())
+    rows = p04.matched_rows(*t).collect()
+    assert {tuple(r)[:2] for r in rows} == {(i, j) for i in (1, 2, 3, 5) for j in (100, 101, 102, 104, 106)}
+    assert all(0 < r.confidence <= 1 for r in rows)
 
 
 def test_persons_of_empty_tables(spark):
