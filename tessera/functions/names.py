@@ -79,8 +79,12 @@ def formats(toks: Column, given: Column, sur: Column) -> dict[str, Column]:
     }
 
 
-def candidates(df: DataFrame, *keep: str) -> DataFrame:
-    """One row per name and format that the name can give: keep..., pattern, local."""
+def candidates(df: DataFrame, *keep: str, unbuilt: bool = False) -> DataFrame:
+    """One row per name and format: keep..., pattern, local; only formats that the name can give unless
+    ``unbuilt``, which also adds place, the format's place by name."""
     made = formats(F.col("toks"), F.col("given"), F.col("sur"))
-    pairs = F.array(*[F.struct(F.lit(k).alias("pattern"), v.alias("local")) for k, v in made.items()])
-    return df.select(*keep, F.inline(F.filter(pairs, lambda p: p["local"].isNotNull())))
+    order = {k: i for i, k in enumerate(sorted(made))}
+    pairs = F.array(*[F.struct(F.lit(k).alias("pattern"), v.alias("local"), F.lit(order[k]).alias("place")) for k, v in made.items()])
+    if unbuilt:
+        return df.select(*keep, F.inline(pairs))
+    return df.select(*keep, F.inline(F.filter(pairs, lambda p: p["local"].isNotNull()))).drop("place")

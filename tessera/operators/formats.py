@@ -79,19 +79,16 @@ def verdict(least: float = MIN_CONFIDENCE) -> Column:
 
 def leave_one_out(rows: DataFrame) -> DataFrame:
     """domain, n, correct, accuracy (null under three addresses). For each address the format is chosen
-    from the others: group totals less its own part, so nothing is learned again.
-
-    Only the formats of a domain (27 at most) are joined to its addresses."""
-    totals = scores(rows)
-    own = candidates(rows, "id", "domain", "actual").withColumn("hit", (F.col("local") == F.col("actual")).cast("int"))
-    pairs = rows.select("id", "domain", "actual").join(totals.filter("n >= 3"), "domain").join(own.select("id", "pattern", "local", "hit"), ["id", "pattern"], "left")
-    built = F.col("local").isNotNull().cast("int")
-    left = pairs.withColumn("a", F.col("attempts") - built).withColumn("h", F.col("hits") - F.coalesce("hit", F.lit(0)))
-    left = left.filter(F.col("a") >= F.greatest(F.lit(1), F.floor((F.col("n") - 1) / 2))).withColumn("rate", F.col("h") / F.col("a"))
-    order = F.struct(F.col("rate"), F.col("pattern").isin(*SURNAME_AWARE).alias("aware"))
+    from the others: group totals less its own part, so nothing is learned again. The totals (27 rows a
+    domain at most) are joined to the addresses' formats; the choice is a max over a struct."""
+    long = candidates(rows, "id", "domain", "actual", unbuilt=True).withColumn("hit", F.coalesce((F.col("local") == F.col("actual")).cast("int"), F.lit(0)))
+    totals = long.groupBy("domain", "pattern").agg(F.count("local").alias("attempts"), F.sum("hit").alias("hits"), F.count("*").alias("n")).filter("n >= 3")
+    left = long.select("id", "domain", "pattern", "place", "hit", F.col("local").isNotNull().cast("int").alias("built")).join(totals, ["domain", "pattern"])
+    left = left.withColumn("a", F.col("attempts") - F.col("built")).withColumn("h", F.col("hits") - F.col("hit"))
+    left = left.filter(F.col("a") >= F.greatest(F.lit(1), F.floor((F.col("n") - 1) / 2)))
     # best by rate, then surname-aware, then the smaller name
-    best = left.groupBy("id", "domain").agg(F.max(order).alias("o"))
-    chosen = left.withColumn("o", order).join(best, ["id", "domain", "o"]).groupBy("id", "domain").agg(F.min_by(F.struct("rate", "hit"), "pattern").alias("c"))
+    order = F.struct((F.col("h") / F.col("a")).alias("rate"), F.col("pattern").isin(*SURNAME_AWARE).alias("aware"), (-F.col("place")).alias("place"), "hit")
+    chosen = left.groupBy("id", "domain").agg(F.max(order).alias("c"))
     right = chosen.groupBy("domain").agg(F.count_if((F.col("c.rate") > 0) & (F.col("c.hit") == 1)).alias("correct"))
     n = rows.groupBy("domain").agg(F.count("*").alias("n"))
     out = n.join(right, "domain", "left").withColumn("correct", F.when(F.col("n") >= 3, F.coalesce("correct", F.lit(0))))
