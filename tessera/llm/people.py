@@ -143,16 +143,18 @@ def align(a: list[str], b: list[str]) -> tuple[float, int, str]:
     return best[0], best[1], word
 
 
+def deletes(t: Column) -> Column:
+    """A word of five letters or more with none or one letter taken out; a shorter one as it is."""
+    some = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1))), lambda i: F.concat(F.substr(t, F.lit(1), i - 1), F.substr(t, i + 1)))
+    return F.when(F.length(t) >= 5, F.array_append(some, t)).otherwise(F.array(t))
+
+
 def token_keys(toks: Column) -> Column:
     """Symmetric-delete keys of a name: every word of five letters or more with none or one letter taken
     out (shorter words as they are), beside the initial of another word of the name."""
-    def cut(t: Column) -> Column:
-        some = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1))), lambda i: F.concat(F.substr(t, F.lit(1), i - 1), F.substr(t, i + 1)))
-        return F.when(F.length(t) >= 5, F.array_append(some, t)).otherwise(F.array(t))
-
     def beside(t: Column) -> Column:
         firsts = F.array_distinct(F.transform(F.filter(toks, lambda u: u != t), lambda u: F.substr(u, F.lit(1), F.lit(1))))
-        return F.flatten(F.transform(cut(t), lambda d: F.transform(firsts, lambda c: F.concat(d, F.lit("|"), c))))
+        return F.flatten(F.transform(deletes(t), lambda d: F.transform(firsts, lambda c: F.concat(d, F.lit("|"), c))))
 
     return F.array_distinct(F.flatten(F.transform(F.filter(toks, lambda t: F.length(t) >= 3), beside)))
 

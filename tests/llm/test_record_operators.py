@@ -225,6 +225,20 @@ def test_persons(spark):
     assert all(0 < r.confidence <= 1 for r in rows)
 
 
+def test_cross_source_names_without_address(spark):
+    firm, u = "Alder Wealth Partners", "https://www.alderwp.test/team"
+    c = [(1, "G. Lajonipo", None, firm), (2, "Edward Lagobohes", None, firm), (3, "S. Ruhegaji", None, firm), (4, "B. Dutanozen", None, firm)]
+    c += [(10 + i, f"{n} Xa{w}", f"{n}.xa{w}@alderwp.test".lower(), firm) for i, (n, w) in enumerate((n, w) for n in ("Edward", "Gabriel", "Samuel") for w in ("bopilat", "cudenor", "fegasum", "ritovak"))]
+    h = [
+        (100, "kolibri91@mail.test", "Gabriel Lajonipo", False, 1, u), (101, "wanderer42@mail.test", "Edward Lahobohes", False, 1, u), (102, "teapot63@mail.test", "Samuel Ruhegaji", False, 1, u), (103, "mountain58@mail.test", "Sebastian Ruhegaji", False, 1, u),
+        (104, "bdutanozen@alderwp.test", None, False, 1, u),
+    ]
+    h += [(200 + r[0], r[2], r[1], False, 1, u) for r in c[4:]]
+    got = {tuple(r)[:2] for r in p04.matched_rows(*tables(spark, c, h)).collect()}
+    # an initial and a unique surname, a slip in the surname, an address made from an initial; S. could be two
+    assert got == {(1, 100), (2, 101), (4, 104)} | {(r[0], 200 + r[0]) for r in c[4:]}
+
+
 def test_persons_of_empty_tables(spark):
     c, h, ref, short = tables(spark, [], [])
     assert p03.found(c, h, ref, short).count() == 0
