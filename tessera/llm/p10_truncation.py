@@ -3,13 +3,13 @@
 Each text is read once. A stack automaton walks its structural characters (quotes, brackets, tags,
 entities, escapes) and tells what is still open; the end of the text is classed: a sentence end, an
 ellipsis, a mark of a cut, the end of a structured block (signature, list, tags, link), a casual
-close, or open. Per source, over all its texts, the baseline is learned: the length, in
-characters or bytes, at which texts that end open pile up (its field limit), and the short closings
-its authors keep using. A text is cut if it ends in a mark or broken sequence, ends open (and not
-in its source's own closing), or stands at the limit of its source in an ellipsis or block whose end
-no text away from the limit has.
+close, or open. Per source, over all its different texts (copies count once), the baseline is learned: the lengths, in characters or
+bytes, at which texts that end open pile up against the lengths around (its field limits), and the short
+closings its authors keep using. A text is cut if it ends in a mark or broken sequence, ends open (and not
+in its source's own closing), or stands at a limit of its source in an ellipsis or block whose end
+is not mostly found away from the limits.
 
-The baselines are broadcast; they have at most 1 / CLOSING_SHARE rows per source.
+The baselines are broadcast; per source they have at most 1 / CLOSING_SHARE closings and the few lengths that pile up.
 
 Defined cases: null, empty and blank texts are not cut; a null source is a source of its own; ties
 and repeated rows are judged alike; very long texts are read whole.
@@ -23,11 +23,14 @@ from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-LIMIT_SHARE = 0.3  # of a source's unfinished texts that have one exact length
+LIMIT_SHARE = 0.03  # of a source's different unfinished texts that have one exact length, at least
+AROUND = 10  # lengths on each side, beyond the room of a mark, that a pile is held against
 MARK_ROOM = 3  # characters that a mark of a cut may leave unused below the limit
 CLOSING_SHARE = 0.01  # of a source's texts that end in one closing
+HABIT_SHARE = 0.5  # of the texts with one end that stand away from the limits
 
 # Closings that are common in messages.
 CLOSINGS = {
@@ -95,8 +98,9 @@ def ending(text: str) -> tuple[str, str]:
     lines = body.split("\n")
     last = lines[-1].strip()
     tail = re.split(r"[.!?。！？…]+[\"”’')\]]*(?:\s|$)|[。！？]|\n", body)[-1].strip()
-    if ELLIPSIS.search(body):
-        return "ellipsis", tail or last
+    if m := ELLIPSIS.search(body):
+        # the words before the ellipsis, since the sentence end before them
+        return "ellipsis", re.split(r"[.!?。！？…]+[\"”’')\]]*(?:\s|$)|[。！？]|\n", body[: m.start()].rstrip())[-1].strip() or last
     if TERMINAL.search(body):
         return ("open" if held and body.rfind(held[-1]) > end - 120 else "sentence"), ""
     before = [x.strip() for x in lines[-5:-1]]
@@ -118,33 +122,37 @@ def _endings(texts: pd.Series) -> pd.DataFrame:
 
 
 def with_endings(documents: DataFrame) -> DataFrame:
-    """doc_id, source, kind, tail, chars, bytes of every text that is not blank."""
+    """doc_id, source, kind, tail, chars, bytes, hash (of the text) of every text that is not blank."""
     run = F.pandas_udf(_endings, "struct<kind: string, tail: string>")
     docs = documents.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text").filter("text is not null")
-    docs = docs.withColumn("e", run("text")).select("doc_id", "source", "e.kind", "e.tail", F.char_length("text").alias("chars"), F.octet_length("text").alias("bytes"))
+    docs = docs.withColumn("e", run("text")).select("doc_id", "source", "e.kind", "e.tail", F.char_length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.xxhash64("text").alias("hash"))
     return docs.filter("kind <> 'blank'")
 
 
-def limits(ends: DataFrame) -> DataFrame:
-    """source, char_limit, byte_limit: the lengths at which the unfinished texts of a source pile up,
-    null where they don't; by_bytes tells which pile is higher."""
-    unfinished = ends.filter("kind in ('open', 'ellipsis', 'mark', 'broken')")
+def limits(texts: DataFrame) -> DataFrame:
+    """source, char_limits, byte_limits: the lengths at which the unfinished of a source's different texts
+    pile up; by_bytes tells which pile is higher. Of lengths within the room of a mark the highest counts."""
+    unfinished = texts.filter("kind in ('open', 'ellipsis', 'mark', 'broken')")
     total = unfinished.groupBy("source").agg(F.count("*").alias("n"))
     units = F.array(F.struct(F.lit("c").alias("unit"), F.col("chars").alias("size")), F.struct(F.lit("b").alias("unit"), F.col("bytes").alias("size")))
     piles = unfinished.select("source", F.inline(units)).groupBy("source", "unit", "size").agg(F.count("*").alias("k"))
-    high = piles.join(F.broadcast(total), "source").filter(f"k >= 3 and k >= {LIMIT_SHARE} * n")
+    # what stands at the lengths around: range windows over sizes, far fewer than the texts
+    by_size, room = W.partitionBy("source", "unit").orderBy("size"), MARK_ROOM + AROUND
+    near = [F.coalesce(F.sum("k").over(by_size.rangeBetween(x, y)), F.lit(0)) for x, y in ((-room, -MARK_ROOM - 1), (MARK_ROOM + 1, room))]
+    piles = piles.withColumn("mean", (near[0] + near[1]) / F.lit(2.0 * AROUND)).withColumn("top", F.max("k").over(by_size.rangeBetween(-MARK_ROOM, MARK_ROOM)))
+    high = piles.join(F.broadcast(total), "source").filter(f"k = top and k >= 3 and k >= mean + 5 * sqrt(mean) + 2 and k >= {LIMIT_SHARE} * n")
 
-    def top(unit: str, value: str):
-        return F.max(F.when(F.col("unit") == unit, F.struct("k", "size")))[value]
+    def of(unit: str, value: str):
+        return F.when(F.col("unit") == unit, F.col(value))
 
-    out = high.groupBy("source").agg(top("c", "size").alias("char_limit"), top("b", "size").alias("byte_limit"), top("c", "k").alias("kc"), top("b", "k").alias("kb"))
-    return out.select("source", "char_limit", "byte_limit", (F.coalesce("kb", F.lit(0)) > F.coalesce("kc", F.lit(0))).alias("by_bytes"))
+    out = high.groupBy("source").agg(F.collect_list(of("c", "size")).alias("char_limits"), F.collect_list(of("b", "size")).alias("byte_limits"), F.max(of("c", "k")).alias("kc"), F.max(of("b", "k")).alias("kb"))
+    return out.select("source", "char_limits", "byte_limits", (F.coalesce("kb", F.lit(0)) > F.coalesce("kc", F.lit(0))).alias("by_bytes"))
 
 
-def closings(ends: DataFrame) -> DataFrame:
-    """source, tail: short last phrases without a stop that a source's authors keep using."""
-    total = ends.groupBy("source").agg(F.count("*").alias("n"))
-    own = ends.filter("kind = 'open' and size(split(tail, ' ')) <= 4 and length(tail) <= 24").groupBy("source", "tail").agg(F.count("*").alias("k"))
+def closings(texts: DataFrame) -> DataFrame:
+    """source, tail: short last phrases without a stop that a source's authors keep using in different texts."""
+    total = texts.groupBy("source").agg(F.count("*").alias("n"))
+    own = texts.filter("kind = 'open' and size(split(tail, ' ')) <= 4 and length(tail) <= 24").groupBy("source", "tail").agg(F.count("*").alias("k"))
     return own.join(F.broadcast(total), "source").filter(f"k >= 5 and k >= {CLOSING_SHARE} * n").select("source", "tail")
 
 
@@ -153,15 +161,24 @@ def judged(documents: DataFrame) -> DataFrame:
     from ..session import written
 
     ends = written(with_endings(documents), "endings")  # read by the baselines and the verdict
-    lim = F.broadcast(limits(ends))
-    own = F.broadcast(closings(ends).withColumn("own", F.lit(True)))
-    rows = ends.join(lim, "source", "left").join(own, ["source", "tail"], "left")
-    chars, size = F.col("char_limit") - F.col("chars"), F.col("byte_limit") - F.col("bytes")
-    marked = chars.between(0, MARK_ROOM) | size.between(0, MARK_ROOM)
-    exact = F.when(F.col("by_bytes"), size == 0).otherwise(chars == 0)
-    # ends that stand elsewhere too, away from the limit, are the authors' own
-    rows = rows.withColumn("at_limit", F.coalesce(F.when(F.col("kind") == "ellipsis", marked).otherwise(exact), F.lit(False)))
-    habit = rows.filter("kind in ('ellipsis', 'block') and not at_limit").groupBy("kind", "tail").agg(F.count("*").alias("k")).filter("k >= 3")
+    texts = written(ends.dropDuplicates(["source", "hash"]).drop("doc_id"), "texts")  # copies teach nothing more
+    lim = F.broadcast(limits(texts))
+    own = F.broadcast(closings(texts).withColumn("own", F.lit(True)))
+
+    def placed(df: DataFrame) -> DataFrame:
+        """Add at_limit: does a text stand at a limit of its source?"""
+        def within(limit: str, size: str):
+            return F.exists(limit, lambda x: (x - F.col(size)).between(0, MARK_ROOM))
+
+        marked = within("char_limits", "chars") | within("byte_limits", "bytes")
+        exact = F.when(F.col("by_bytes"), F.array_contains("byte_limits", F.col("bytes"))).otherwise(F.array_contains("char_limits", F.col("chars")))
+        out = df.join(lim, "source", "left")
+        return out.withColumn("at_limit", F.coalesce(F.when(F.col("kind") == "ellipsis", marked).otherwise(exact), F.lit(False)))
+
+    rows = placed(ends).join(own, ["source", "tail"], "left")
+    # ends that mostly stand elsewhere, away from the limits, are the authors' own
+    away = placed(texts.filter("kind in ('ellipsis', 'block')")).groupBy("kind", "tail").agg(F.count_if(~F.col("at_limit")).alias("k"), F.count("*").alias("n"))
+    habit = away.filter(f"k >= 3 and k >= {HABIT_SHARE} * n")
     asked = rows.filter("kind in ('ellipsis', 'block') and at_limit").select("doc_id", "kind", "tail")
     known = asked.join(habit, ["kind", "tail"], "left_anti").select("doc_id")
     plain = F.col("kind").isin("mark", "broken") | ((F.col("kind") == "open") & F.col("own").isNull())

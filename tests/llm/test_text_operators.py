@@ -155,3 +155,14 @@ def test_truncation(spark):
     shares = {r.source: (r.n_texts, r.n_cut) for r in p10.shares(df).collect()}
     assert shares == {"a": (26, 6), None: (3, 2), "chat": (10, 0), "b": (2, 1)}
     assert p10.found(df.limit(0)).count() == 0
+
+
+def test_truncation_with_copies(spark):
+    """Copies of one cut text are neither a limit nor a closing; a source may have two limits."""
+    rows = [(i, "All is well. we then wen", "m") for i in range(60)]
+    rows += [(100 + i, f"Text {i:02d} goes on and on for a while abou".ljust(77, "xyz"[i % 3]) + "...", "m") for i in range(12)]
+    rows += [(200 + i, f"Text {i:02d} goes on and on for a while abou".ljust(197, "xyz"[i % 3]) + "...", "m") for i in range(12)]
+    rows += [(300 + i, f"Text {i:02d} is whole" + " and so on" * (i % 7) + " as it should be.", "m") for i in range(30)]
+    rows += [(400 + i, f"Text {i:02d} is whole" + " or so" * (5 + 9 * i) + "...", "m") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    assert {r.doc_id for r in p10.found(df).collect()} == {*range(60), *range(100, 112), *range(200, 212)}
