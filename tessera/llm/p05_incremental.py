@@ -1,11 +1,12 @@
-"""Problem 5: new batches against all history, by mailbox, without reading history again.
+"""Problem 5: new batches against all history, by mailbox.
 
 The history is a hash forest: for every mailbox its keys in four sorted permutations of the address
 are persisted in runs (Parquet in the shared folder, sorted by key). A batch looks up its mailboxes
 at full depth first (the whole address); those not found are looked up at half depth, where a single
 slip in a part always leaves one permutation whole (recall 1 by the pigeonhole principle, the target),
-and the entries in that range are verified. Only then the batch's new mailboxes are appended as a run;
-small runs are merged. The work of a batch depends on its own rows and the entries it meets.
+and the entries under the same key are verified. Only then the batch's new mailboxes are appended as a run;
+small runs are merged. The look-up is a hash join over all runs and an anti-join over all mailboxes held, so every
+batch reads and shuffles the history's keys again; the sort of the runs is not used by it.
 
 Defined cases: rows without an address are never repeats; rows of one batch do not count against each
 other; a null batch number is a last batch of its own; repeated rows are all reported; empty tables
