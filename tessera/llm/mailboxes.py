@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
@@ -18,20 +18,35 @@ DESKS = (
 )
 
 
+# Addresses that the steps below would leave as they are.
+TIDY = r"^(?!u003)[a-z](?:[a-z0-9._-]*[a-z0-9])?@[a-z0-9][a-z0-9.-]*[.](?:[a-z0-9.-]*[a-z0-9])$"
+STEPS = (
+    ("%40", "@"),
+    (r"%(20|3c|3e|22|09|0a|0d)|\+(?=\s|$)", " "),
+    (r"\s*(?:[\[({<]\s*(?:at|@|ät)\s*[\])}>]|\s(?:at|_at_)\s(?=[^@]*$))\s*", "@"),
+    (r"\s*(?:[\[({<]\s*(?:dot|\.|punkt)\s*[\])}>]|\sdot\s)\s*", "."),
+    (r"\s*@\s*", "@"),
+    (r"(?:mailto|e-?mail)\s*:", " "),
+    (r"[?&#].*$", ""),
+)
+PARTS = (
+    (r"\+[^@]*(?=@)", ""),
+    (r"^[^\p{L}\p{N}@]+|[^\p{L}\p{N}@]+(?=@)|(?<=@)[^\p{L}\p{N}]+|[^\p{L}\p{N}@]+$", ""),
+    (r"^(?:20|3c|3e|22|u003[ce])(?=\p{L}{3})", ""),  # what is left of an escape
+)
+
+
 def mailbox(column: Column) -> Column:
     """The address without case, markup, query, label, spelled-out signs and stray punctuation; null if
     there is none."""
+    plain = F.lower(F.trim(column))
     s = F.lower(F.translate(F.regexp_replace(column, UNSEEN, ""), WIDE, NARROW))
-    s = F.regexp_replace(F.regexp_replace(s, "%40", "@"), r"%(20|3c|3e|22|09|0a|0d)|\+(?=\s|$)", " ")
-    s = F.regexp_replace(s, r"\s*(?:[\[({<]\s*(?:at|@|ät)\s*[\])}>]|\s(?:at|_at_)\s(?=[^@]*$))\s*", "@")
-    s = F.regexp_replace(s, r"\s*(?:[\[({<]\s*(?:dot|\.|punkt)\s*[\])}>]|\sdot\s)\s*", ".")
-    s = F.regexp_replace(F.regexp_replace(s, r"\s*@\s*", "@"), r"(?:mailto|e-?mail)\s*:", " ")
-    s = F.regexp_extract(F.regexp_replace(s, r"[?&#].*$", ""), ADDRESS, 0)
-    local, domain = F.substring_index(s, "@", 1), F.substring_index(s, "@", -1)
-    local = F.regexp_replace(F.regexp_replace(local, r"\+.*$", ""), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-    local = F.regexp_replace(local, r"^(?:20|3c|3e|22|u003[ce])(?=\p{L}{3})", "")  # what is left of an escape
-    domain = F.regexp_replace(domain, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-    return F.when((local != "") & domain.contains("."), F.concat(local, F.lit("@"), domain))
+    for pattern, new in STEPS:
+        s = F.regexp_replace(s, pattern, new)
+    s = F.regexp_extract(s, ADDRESS, 0)
+    for pattern, new in PARTS:
+        s = F.regexp_replace(s, pattern, new)
+    return F.when(plain.rlike(TIDY), plain).otherwise(F.regexp_substr(s, F.lit("^[^@]+@[^@]*[.][^@]*$")))
 
 
 def local_of(box: Column) -> Column:
@@ -53,29 +68,58 @@ def within_one_edit(a: Column, b: Column) -> Column:
 
 def same_but_slip(a: Column, b: Column) -> Column:
     """Are two addresses one mailbox but for at most one slip in each part? A different initial in front
-    of a dot is another person; parts under four letters must be equal."""
+    of a dot is another person; local parts that are both under four letters must be equal."""
     la, lb, da, db = local_of(a), local_of(b), domain_of(a), domain_of(b)
     initial = la.rlike("^.[._-]") & lb.rlike("^.[._-]") & (F.substr(la, F.lit(2)) == F.substr(lb, F.lit(2)))
-    long = (F.length(la) >= 4) & (F.length(lb) >= 4)
+    long = F.greatest(F.length(la), F.length(lb)) >= 4
     local = (la == lb) | (long & ~initial & within_one_edit(la, lb))
     return local & ((da == db) | within_one_edit(da, db))
 
 
-def _halves(part: Column, turned: bool, shifts: bool) -> list[Column]:
-    """Leading half of a part, from its start or from its end; with shifts also the half that a part
-    one letter longer or shorter would have."""
-    text = F.reverse(part) if turned else part
-    half = F.greatest(F.floor((F.length(part) - 1) / 2).cast("int"), F.lit(0))  # even a swap across the middle leaves one half
-    other = F.when(F.length(part) % 2 == 1, F.greatest(half - 1, F.lit(0))).otherwise(half + 1)
-    return [F.substr(text, F.lit(1), n) for n in ([half, other] if shifts else [half])]
-
-
-def forest_keys(box: Column, shifts: bool) -> Column:
-    """Keys of an address in the four sorted permutations (each part read from its start or its end) at
-    half depth. One slip in a part leaves one of its halves whole, so two addresses with at most one
-    slip in each part always share a key when one side is taken with shifts."""
-    local, domain = local_of(box), domain_of(box)
-    keys = []
-    for p, (turn_d, turn_l) in enumerate([(False, False), (False, True), (True, False), (True, True)]):
-        keys += [F.xxhash64(F.lit(p), d, x) for d in _halves(domain, turn_d, shifts) for x in _halves(local, turn_l, shifts)]
-    return F.array_distinct(F.array(*keys))
+# Bits of a key from the top: tree, what the tree keeps of the domain, what it keeps of both parts, the
+# whole domain, the whole local part. A prefix of a key is a node of the tree.
+LOCAL_BLOCKS, DOMAIN_BLOCKS = 4, 2
+PLACE_BITS, NODE_BITS, REST_BITS = 14, 26, 10
+EXACT, SAME_DOMAIN, ANY_SLIP = 0, REST_BITS, 2 * REST_BITS  # bits left off: how far a prefix is widened
+COARSE = NODE_BITS + 2 * REST_BITS  # bits left off a tree and its place
+
+
+def _with_kept(df: DataFrame, part: str, blocks: int, tolerant: bool) -> DataFrame:
+    """Each row once for every (class, j): what is left of ``part`` without its j-th block, for the length
+    class that it (tolerant: also one a letter longer or shorter) is of; columns <part>_j and <part>_kept.
+
+    A class holds the lengths 4k to 4k+3; its blocks have 4k/blocks letters, counted from the start for what
+    stands before the block and from the end for what stands behind it, and two blocks overlap by a letter.
+    So one letter more, less or other, or two neighbours swapped, always lies within one block."""
+    text, n, c, j = F.col(part), F.length(part), F.col(f"{part}_c"), F.col(f"{part}_j")
+    lengths = (F.greatest(n - 1, F.lit(0)), n + 1) if tolerant else (n,)
+    out = df.withColumn(f"{part}_c", F.explode(F.array_distinct(F.array(*[m - m % 4 for m in lengths]))))
+    out = out.withColumn(f"{part}_j", F.explode(F.array(*[F.lit(i) for i in range(blocks)])))
+    w = (c / blocks).cast("int")
+    behind = F.greatest(c - (j + 1) * w - 1, F.lit(0))
+    kept = F.concat_ws("|", c.cast("string"), F.substr(text, F.lit(1), j * w), F.substr(text, F.greatest(n - behind + 1, F.lit(1)), behind))
+    return out.withColumn(f"{part}_kept", kept)
+
+
+def _bits(n: int, *columns: Column) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(*columns), 64 - n)
+
+
+def with_keys(df: DataFrame, tolerant: bool, widened: int = EXACT) -> DataFrame:
+    """Each row (column box) once for each of its signatures in the trees, in column key without the last
+    ``widened`` bits: a node. Two addresses with at most one slip in each part share a node at ANY_SLIP when
+    one side is taken tolerant; with a slip in the local part only also at SAME_DOMAIN."""
+    out = df.withColumn("__l", local_of(F.col("box"))).withColumn("__d", domain_of(F.col("box")))
+    out = _with_kept(out, "__d", DOMAIN_BLOCKS, tolerant and widened == ANY_SLIP)
+    out = _with_kept(out, "__l", LOCAL_BLOCKS, tolerant)
+    rest = F.shiftleft(_bits(REST_BITS, F.lit("d"), F.col("__d")), REST_BITS).bitwiseOR(_bits(REST_BITS, F.lit("l"), F.col("__l")))
+    tree = F.col("__d_j").cast("bigint") * LOCAL_BLOCKS + F.col("__l_j")
+    place = F.shiftleft(tree, PLACE_BITS).bitwiseOR(_bits(PLACE_BITS, F.col("__d_kept")))
+    node = F.shiftleft(place, NODE_BITS).bitwiseOR(_bits(NODE_BITS, F.col("__d_kept"), F.col("__l_kept")))
+    key = F.shiftright(F.shiftleft(node, 2 * REST_BITS).bitwiseOR(rest), widened)
+    return out.withColumn("key", key).select(*df.columns, "key")
+
+
+def with_whole_key(df: DataFrame) -> DataFrame:
+    """Each row with its key in the first tree."""
+    return with_keys(df, False).filter(F.shiftright("key", COARSE + PLACE_BITS) == 0)

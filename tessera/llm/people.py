@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import discard, written
-from .mailboxes import DESKS, domain_of, forest_keys, local_of, mailbox, same_but_slip
+from .mailboxes import ANY_SLIP, DESKS, domain_of, local_of, mailbox, same_but_slip, with_keys
 from .p01_canonical_text import canonical
 from .p02_formatting_duplicates import complete_address
 from .p06_reference_mapping import find_entry
@@ -72,8 +72,8 @@ def site_of(url: Column) -> Column:
 
 def mailbox_roots(boxes: DataFrame) -> DataFrame:
     """box, root of (box, n): the most frequent address that is the same mailbox but for a slip."""
-    wide = boxes.select("box", "n", F.explode(forest_keys(F.col("box"), True)).alias("key"))
-    index = boxes.select(F.col("box").alias("other"), F.col("n").alias("m"), F.explode(forest_keys(F.col("box"), False)).alias("key"))
+    wide = with_keys(boxes.select("box", "n"), True, ANY_SLIP)
+    index = with_keys(boxes.select("box", "n"), False, ANY_SLIP).select(F.col("box").alias("other"), F.col("n").alias("m"), "key")
     near = wide.join(index, "key").filter((F.col("box") != F.col("other")) & ((F.col("m") > F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("other") < F.col("box")))))
     near = near.filter(same_but_slip(F.col("box"), F.col("other")))
     best = near.groupBy("box").agg(F.max(F.struct("m", F.col("other").alias("root"))).alias("b")).select("box", "b.root")

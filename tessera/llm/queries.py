@@ -60,6 +60,10 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p05.hits_found(table(spark, d, "contacts"), table(spark, d, "hits"))
 
 
+def p5_batches(spark: SparkSession, d: str) -> DataFrame:
+    return p05.hits_by_batch(table(spark, d, "contacts"), table(spark, d, "hits"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p06.firms_found(table(spark, d, "contacts"), table(spark, d, "firm_ref"))
 
@@ -96,4 +100,4 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     return p10.shares(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_canonical, p2_found, p2_records, p3_found, p4_found, p4_matches, p5_found, p6_found, p7_found, p7_current, p8_ids, p9_found, p9_clean, p10_found, p10_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_canonical, p2_found, p2_records, p3_found, p4_found, p4_matches, p5_found, p5_batches, p6_found, p7_found, p7_current, p8_ids, p9_found, p9_clean, p10_found, p10_shares)}

@@ -70,52 +70,106 @@ def test_mailbox(spark, raw, want):
     assert spark.createDataFrame([(raw,)], "e string").select(mailboxes.mailbox(F.col("e"))).first()[0] == want
 
 
-def test_slips_always_share_a_key(spark):
+def _slip(rng, s):
+    i, kind = rng.randrange(len(s)), rng.choice("diswn")
+    if kind == "d":
+        return s[:i] + s[i + 1 :]
+    if kind == "i":
+        return s[:i] + "z" + s[i:]
+    if kind == "s":
+        return s[:i] + "z" + s[i + 1 :]
+    return s[:i] + s[i + 1 : i + 2] + s[i : i + 1] + s[i + 2 :] if kind == "w" else s
+
+
+def test_slips_always_share_a_node(spark):
+    """The recall that the depths promise: every slip in a part, short parts too."""
     rng = random.Random(4)
     pairs = []
-    for _ in range(300):
-        local = "".join(rng.choices("abcdefgh.", k=rng.randint(4, 14))).strip(".") or "abcd"
-        domain = "".join(rng.choices("klmnop", k=rng.randint(3, 9))) + ".test"
-
-        def slip(s):
-            i, kind = rng.randrange(len(s)), rng.choice("diswn")
-            if kind == "d":
-                return s[:i] + s[i + 1 :]
-            if kind == "i":
-                return s[:i] + "z" + s[i:]
-            if kind == "s":
-                return s[:i] + "z" + s[i + 1 :]
-            return s[:i] + s[i + 1 : i + 2] + s[i : i + 1] + s[i + 2 :] if kind == "w" else s
-
-        pairs.append((f"{local}@{domain}", f"{slip(local)}@{slip(domain)}"))
-    df = spark.createDataFrame(pairs, "a string, b string").filter("length(split(a, '@')[0]) >= 4 and length(split(b, '@')[0]) >= 4 and split(b, '@')[1] <> ''")
-    ok = mailboxes.within_one_edit(mailboxes.local_of(F.col("a")), mailboxes.local_of(F.col("b"))) & mailboxes.within_one_edit(mailboxes.domain_of(F.col("a")), mailboxes.domain_of(F.col("b")))
-    met = F.arrays_overlap(mailboxes.forest_keys(F.col("a"), True), mailboxes.forest_keys(F.col("b"), False))
-    out = df.select(ok.alias("ok"), met.alias("met")).collect()
-    assert all(r.ok for r in out) and all(r.met for r in out)
-
-
-def test_batches(spark):
-    c = contacts(spark, [(1, "a", "mia.stone@acme.test"), (2, "b", "half@"), (3, "c", None)])
+    for k in range(1200):
+        local = "".join(rng.choices("abcdefgh.", k=rng.randint(2, 19))).strip(".") or "abcd"
+        domain = "".join(rng.choices("klmnop", k=rng.randint(1, 14))) + ".test"
+        pairs.append((k, f"{local}@{domain}", f"{_slip(rng, local) or 'a'}@{_slip(rng, domain)}"))
+    df = spark.createDataFrame(pairs, "id int, a string, b string").filter("split(b, '@')[1] <> ''")
+    a, b = F.col("a"), F.col("b")
+    ok = mailboxes.within_one_edit(mailboxes.local_of(a), mailboxes.local_of(b)) & mailboxes.within_one_edit(mailboxes.domain_of(a), mailboxes.domain_of(b))
+    df = df.filter(ok)
+    assert df.count() > 1150
+    for widened, asked in ((mailboxes.ANY_SLIP, df), (mailboxes.SAME_DOMAIN, df.filter(mailboxes.domain_of(a) == mailboxes.domain_of(b))), (mailboxes.EXACT, df.filter("a = b"))):
+        mine = mailboxes.with_keys(asked.select("id", a.alias("box")), widened != mailboxes.EXACT, widened)
+        theirs = mailboxes.with_keys(asked.select("id", b.alias("box")), False, widened)
+        assert mine.join(theirs, ["id", "key"]).select("id").distinct().count() == asked.count()
+
+
+def _arriving():
     url = "https://acme.test/x"
-    rows = [
+    return [
         (10, "MIA.STONE@acme.test;", None, False, 1, url), (11, "mia.stnoe@acme.test", None, False, 1, url), (12, "new.one@acme.test", None, False, 1, url), (13, "new.one@acme.test", None, False, 1, url), (14, "new.one+x@acme.test", None, False, 2, url),
         (15, "half@acme.test", None, False, 2, url), (16, None, None, None, 3, None), (17, "junk", None, False, 3, url), (18, "new.oe@acmee.test", None, False, None, url), (19, "i.stone@acme.test", None, False, 3, url), (20, "k.stone@acme.test", None, False, 4, url), (14, "new.one+x@acme.test", None, False, 2, url),
+        (21, "jobs@acme.test", None, True, 1, url), (22, "job@acme.test", None, True, 2, url), (23, "hr@acme.test", None, True, 2, url), (24, "pr@acme.test", None, True, 3, url), (25, "x" * 20_000 + "@acme.test", None, True, 3, url),
     ]
+
+
+def test_batches(spark):
+    c = contacts(spark, [(1, "a", "mia.stone@acme.test"), (2, "b", "half@"), (3, "c", None)])
+    h = hits(spark, _arriving())
+    want = [10, 11, 14, 14, 18, 22]
+    assert sorted(r.hit_id for r in p05.hits_found(c, h).collect()) == want
+    assert sorted(r.hit_id for r in p05.hits_by_batch(c, h).collect()) == want
+    assert p05.hits_found(c, h.limit(0)).count() == 0 and p05.hits_by_batch(c, h.limit(0)).count() == 0
+    assert sorted(r.hit_id for r in p05.hits_found(c.limit(0), h).collect()) == [14, 14, 18, 22]
+
+
+def test_batches_equal_brute_force(spark):
+    rng = random.Random(8)
+    names = [f"{rng.choice(['ann', 'bea', 'carl', 'dora'])}.{''.join(rng.choices('abcdefgh', k=6))}@{rng.choice(['acme', 'bolt', 'corvane'])}.test" for _ in range(60)]
+    rows = [(i, (lambda n: n if rng.random() < 0.6 else _slip(rng, n.split("@")[0]) + "@" + n.split("@")[1])(rng.choice(names)), None, False, rng.randint(1, 5), None) for i in range(500)]
     h = hits(spark, rows)
-    assert sorted(r.hit_id for r in p05.hits_found(c, h).collect()) == [10, 11, 14, 14, 18]
-    assert p05.hits_found(c, h.limit(0)).count() == 0
-    assert sorted(r.hit_id for r in p05.hits_found(c.limit(0), h).collect()) == [14, 14, 18]
+    boxes = h.select("hit_id", "batch_no", mailboxes.mailbox(F.col("email")).alias("box"))
+    other = boxes.select(F.col("batch_no").alias("since"), F.col("box").alias("held")).distinct()
+    want = boxes.join(other, F.col("since") < F.col("batch_no")).filter(mailboxes.same_but_slip(F.col("box"), F.col("held"))).select("hit_id").distinct()
+    want = sorted(r.hit_id for r in want.collect())
+    none = contacts(spark, [])
+    assert sorted(r.hit_id for r in p05.hits_found(none, h).collect()) == want == sorted(r.hit_id for r in p05.hits_by_batch(none, h).collect())
+
+
+def _boxes(spark, names, batch):
+    return spark.createDataFrame([(n, batch) for n in names], "box string, batch int")
 
 
-def test_runs_merge(spark):
+def test_a_forest_is_opened_again_and_merged(spark):
     forest = p05.HashForest(spark)
-    for k in range(4):
-        forest.append(forest.new(spark.createDataFrame([(f"person{k}@acme.test",), ("same@acme.test",)], "box string")))
-    before = forest.unseen(forest.new(spark.createDataFrame([("persn2@acme.test",), ("other@acme.test",)], "box string"))).collect()
-    forest.merge_runs()
-    after = forest.unseen(forest.new(spark.createDataFrame([("persn2@acme.test",), ("other@acme.test",)], "box string"))).collect()
-    assert len(forest.runs) == 1 and before == after == [("other@acme.test",)]
+    for k in range(5):
+        forest.check(_boxes(spark, [f"person{k}x@acme.test", f"other{k}@bolt{k}.test"], k))
+    assert [r["level"] for r in forest.runs] == [1, 0] and forest.rows() == 10 * 8  # four batches merged, one new
+    again = p05.HashForest(spark, forest.path)
+    assert again.runs == forest.runs and again.version == forest.version
+    asked = _boxes(spark, ["persn2x@acme.test", "other3@bolt3.test", "nobody@acme.test"], 50)
+    before = sorted(r.box for m in again.check(asked) for r in m.collect())
+    again.merge()
+    assert before == ["other3@bolt3.test", "persn2x@acme.test"] and len(again.runs) == 1 and again.rows() == 12 * 8
+    assert sorted(r.box for m in p05.HashForest(spark, forest.path).check(_boxes(spark, ["persn2x@acme.test", "other3@bolt3.test"], 51)) for r in m.collect()) == before
+    again.drop()
+
+
+def test_a_batch_reads_only_what_it_touches(spark):
+    """What a batch of one domain reads does not grow with the history of other domains."""
+    read = []
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (1, 10):
+            spark.conf.set("spark.sql.shuffle.partitions", str(48 * n))
+            forest = p05.HashForest(spark)
+            forest.append(_boxes(spark, [f"person{i}@domain{k}.test" for k in range(40 * n) for i in range(5)], 0))
+            files, ranges = forest.touched(_boxes(spark, ["persn3@domain7.test"], 1), mailboxes.ANY_SLIP)
+            read.append(sum(f[3] for _, f in files))
+            assert [r.box for m in forest.check(_boxes(spark, ["persn3@domain7.test"], 1)) for r in m.collect()] == ["persn3@domain7.test"]
+            assert read[-1] < forest.rows() / 2 and len(ranges) < p05.PUSHED
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert read[1] <= 1.5 * read[0]
 
 
 def test_tree_returns_every_entry_within_the_threshold():
