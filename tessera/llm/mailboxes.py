@@ -81,7 +81,6 @@ def same_but_slip(a: Column, b: Column) -> Column:
 LOCAL_BLOCKS, DOMAIN_BLOCKS = 4, 2
 PLACE_BITS, NODE_BITS, REST_BITS = 14, 26, 10
 EXACT, SAME_DOMAIN, ANY_SLIP = 0, REST_BITS, 2 * REST_BITS  # bits left off: how far a prefix is widened
-COARSE = NODE_BITS + 2 * REST_BITS  # bits left off a tree and its place
 
 
 def _with_kept(df: DataFrame, part: str, blocks: int, tolerant: bool) -> DataFrame:
@@ -122,4 +121,4 @@ def with_keys(df: DataFrame, tolerant: bool, widened: int = EXACT) -> DataFrame:
 
 def with_whole_key(df: DataFrame) -> DataFrame:
     """Each row with its key in the first tree."""
-    return with_keys(df, False).filter(F.shiftright("key", COARSE + PLACE_BITS) == 0)
+    return with_keys(df, False).filter(F.shiftright("key", PLACE_BITS + NODE_BITS + 2 * REST_BITS) == 0)

@@ -7,7 +7,7 @@ of one tree's signature whole (see ``mailboxes``). All signatures of a run stand
 range-partitioned into files; the manifest holds the first and last key of every file.
 
 A look-up turns each address into prefixes. A prefix is an aligned range of keys: the files whose keys can
-lie in such a range are found from the manifest, only those are read, and a merge join over the sorted
+lie in such a range are found by a search in the manifest's bounds, only those are read, and a merge join over the sorted
 prefixes finds the entries of each range, which are verified letter by letter. Prefixes are widened step by
 step (whole signature, then all but a block of the local part, then all but a block of both parts) until the
 depth whose recall reaches the target; what was found at one depth is not looked up at the next. The last
@@ -28,21 +28,21 @@ give empty results.
 from __future__ import annotations
 
 import json
-from bisect import bisect_left
-from itertools import pairwise
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import discard, new_path, written
-from .mailboxes import ANY_SLIP, COARSE, EXACT, SAME_DOMAIN, mailbox, same_but_slip, with_keys, with_whole_key
+from .mailboxes import ANY_SLIP, EXACT, SAME_DOMAIN, mailbox, same_but_slip, with_keys, with_whole_key
 from .p02_formatting_duplicates import complete_address
 
 # Depths (bits left off a signature) with the recall that each one reaches for addresses with a slip in
 # the local part, a slip in the domain, a slip in both: the least of them decides.
 DEPTHS = ((EXACT, 0.0), (SAME_DOMAIN, 0.0), (ANY_SLIP, 1.0))
 FAN = 4
-PUSHED = 64  # key ranges that are pushed to the scan as a condition; with more, whole files are read
 LAST_BATCH = (1 << 31) - 1
 RUN = "key bigint, box string, batch int"
 
@@ -86,9 +86,9 @@ class HashForest:
         entries.repartitionByRange("key").sortWithinPartitions("key").write.parquet(f"{self.path}/{name}")
         run = self.spark.read.schema(RUN).parquet(f"{self.path}/{name}")
         files = run.groupBy(F.col("_metadata.file_name").alias("f")).agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("n"))
-        held = sorted([r.f, r.lo, r.hi, r.n] for r in files.collect())  # one row per file
+        held = [[r.f, r.lo, r.hi, r.n] for r in files.collect()]  # one row per file
         if held:
-            self.runs.append({"name": name, "level": level, "files": held})
+            self.runs.append({"name": name, "level": level, "files": sorted(held, key=lambda f: f[1:3])})
 
     def append(self, boxes: DataFrame) -> None:
         """Add mailboxes (box, batch), each once, as a run; then merge tiers that are full."""
@@ -115,31 +115,33 @@ class HashForest:
             return self.spark.createDataFrame([], RUN)
         return self.spark.read.schema(RUN).parquet(*[f"{self.path}/{run}/{f[0]}" for run, f in files])
 
-    def touched(self, asked: DataFrame, widened: int) -> tuple[list[tuple[str, list]], list[tuple[int, int]]]:
-        """(files, key ranges) that prefixes of ``asked`` (column box) can lie in. Ranges are as coarse as a tree
-        and its place, so at most 2^17 of them come to the driver."""
+    def touched(self, asked: DataFrame, widened: int) -> list[tuple[str, list]]:
+        """(run, file) of those files that hold keys in the range of a prefix of ``asked`` (column box). The bounds
+        of the files travel to the tasks, file numbers come back: one for each touched file and task."""
+        runs = [(r["name"], r["files"]) for r in self.runs]
+        bounds = [(np.array([f[1] for f in files]), np.array([f[2] for f in files])) for _, files in runs]
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hit = [np.zeros(len(lo) + 1, np.int64) for lo, _ in bounds]
+            for batch in batches:
+                first = np.unique(batch.column(0).to_numpy(zero_copy_only=False)) << widened
+                last = first + ((1 << widened) - 1)
+                for (lo, hi), h in zip(bounds, hit, strict=True):
+                    a, b = np.searchsorted(hi, first, "left"), np.searchsorted(lo, last, "right")
+                    inside = a < b
+                    np.add.at(h, a[inside], 1)
+                    np.add.at(h, b[inside], -1)
+            for k, h in enumerate(hit):
+                files = np.flatnonzero(np.cumsum(h)[:-1] > 0).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(files), k, np.int32)), pa.array(files)], names=["run", "file"])
+
         keys = with_whole_key(asked.select("box")) if widened == EXACT else with_keys(asked.select("box"), True, widened)
-        places = sorted(r[0] for r in keys.select(F.shiftright("key", COARSE - widened).alias("p")).distinct().collect())
-        files = []
-        for r in self.runs:
-            for f in r["files"]:
-                k = bisect_left(places, f[1] >> COARSE)
-                if k < len(places) and places[k] << COARSE <= f[2]:
-                    files.append((r["name"], f))
-        cuts = [0] + [i + 1 for i, (a, b) in enumerate(pairwise(places)) if b > a + 1] + [len(places)]
-        ranges = [(places[a] << COARSE, (places[b - 1] + 1 << COARSE) - 1) for a, b in pairwise(cuts) if b > a]
-        return files, ranges
+        found = keys.select("key").mapInArrow(search, "run int, file int").distinct().collect()
+        return sorted((runs[r.run][0], runs[r.run][1][r.file]) for r in found)
 
     def _held(self, asked: DataFrame, widened: int) -> DataFrame:
         """Entries of the touched files."""
-        files, ranges = self.touched(asked, widened)
-        entries = self._read(files)
-        if len(ranges) <= PUSHED:
-            inside: Column = F.lit(False)
-            for lo, hi in ranges:
-                inside = inside | F.col("key").between(lo, hi)
-            entries = entries.filter(inside)
-        return entries.select("key", F.col("box").alias("held"), F.col("batch").alias("since"))
+        return self._read(self.touched(asked, widened)).select("key", F.col("box").alias("held"), F.col("batch").alias("since"))
 
     def known(self, asked: DataFrame) -> DataFrame:
         """Those of ``asked`` (box, batch) whose very address stands in the forest with a lower batch."""

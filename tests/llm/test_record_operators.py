@@ -162,14 +162,13 @@ def test_a_batch_reads_only_what_it_touches(spark):
             spark.conf.set("spark.sql.shuffle.partitions", str(48 * n))
             forest = p05.HashForest(spark)
             forest.append(_boxes(spark, [f"person{i}@domain{k}.test" for k in range(40 * n) for i in range(5)], 0))
-            files, ranges = forest.touched(_boxes(spark, ["persn3@domain7.test"], 1), mailboxes.ANY_SLIP)
+            files = forest.touched(_boxes(spark, ["persn3@domain7.test"], 1), mailboxes.ANY_SLIP)
             read.append(sum(f[3] for _, f in files))
             assert [r.box for m in forest.check(_boxes(spark, ["persn3@domain7.test"], 1)) for r in m.collect()] == ["persn3@domain7.test"]
-            assert read[-1] < forest.rows() / 2 and len(ranges) < p05.PUSHED
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
         spark.conf.set("spark.sql.shuffle.partitions", parts)
-    assert read[1] <= 1.5 * read[0]
+    assert read[1] <= 1.5 * read[0] and read[1] < forest.rows() / 4
 
 
 def test_tree_returns_every_entry_within_the_threshold():
