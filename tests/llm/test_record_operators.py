@@ -161,10 +161,13 @@ def test_a_batch_reads_only_what_it_touches(spark):
         for n in (1, 10):
             spark.conf.set("spark.sql.shuffle.partitions", str(48 * n))
             forest = p05.HashForest(spark)
-            forest.append(_boxes(spark, [f"person{i}@domain{k}.test" for k in range(40 * n) for i in range(5)], 0))
-            files = forest.touched(_boxes(spark, ["persn3@domain7.test"], 1), mailboxes.ANY_SLIP)
+            rng = random.Random(3)
+            word = lambda: "".join(rng.choices("abcdefghijklmnopqrst", k=9))
+            domains = ["corvanehill.test"] + [word() + ".test" for _ in range(40 * n)]
+            forest.append(_boxes(spark, ["jonasweber@corvanehill.test"] + [f"{word()}@{d}" for d in domains for _ in range(5)], 0))
+            files = forest.touched(_boxes(spark, ["jonaswebr@corvanehill.test"], 1), mailboxes.ANY_SLIP)
             read.append(sum(f[3] for _, f in files))
-            assert [r.box for m in forest.check(_boxes(spark, ["persn3@domain7.test"], 1)) for r in m.collect()] == ["persn3@domain7.test"]
+            assert [r.box for m in forest.check(_boxes(spark, ["jonaswebr@corvanehill.test"], 1)) for r in m.collect()] == ["jonaswebr@corvanehill.test"]
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
         spark.conf.set("spark.sql.shuffle.partitions", parts)
