@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import permutations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,8 +15,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import discard, written
-from .mailboxes import ANY_SLIP, DESKS, domain_of, local_of, mailbox, same_but_slip, with_keys
-from .p01_canonical_text import canonical
+from .mailboxes import ANY_SLIP, DESKS, domain_of, local_of, mailbox, same_but_slip, with_keys, within_one_edit
+from .p01_canonical_text import PLAIN, canonical
 from .p02_formatting_duplicates import complete_address
 from .p06_reference_mapping import find_entry
 
@@ -24,10 +27,13 @@ FURNITURE = frozenset(
 )
 
 
-LONG = 8  # words; beyond, names are compared word for word
+PLAIN_TEXT = re.compile(PLAIN)
+CACHE = 1 << 16  # names whose parse a worker remembers
 
 
 def fold(text: str) -> str:
+    if text.isascii():
+        return text
     return "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
 
 
@@ -36,7 +42,7 @@ def parse_name(name: str | None, full: dict[str, str]) -> tuple[str | None, list
     apostrophes, short forms replaced by the full name and left out where it stands beside it."""
     if not name:
         return None, []
-    text = canonical(name)[0].lower()
+    text = (name if PLAIN_TEXT.match(name) else canonical(name)[0]).lower()
     spelling = "".join(re.findall(r"[^\W_]+", text))
     words = [w for w in re.findall(r"[^\W_]+", fold(re.sub(r"['’‘ʼ`´]", "", text))) if w not in TITLES]
     if not words or all(w in FURNITURE for w in words):
@@ -57,8 +63,9 @@ def with_names(df: DataFrame, column: str, short_names: DataFrame) -> DataFrame:
         full.setdefault(fold(r.short_form.lower()), fold(r.given.lower()))
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        parse = lru_cache(CACHE)(lambda n: parse_name(n, full))
         for names in batches:
-            yield pd.DataFrame([parse_name(n, full) for n in names], columns=["spelling", "toks"])
+            yield pd.DataFrame([parse(n) for n in names], columns=["spelling", "toks"])
 
     udf = F.pandas_udf(run, "struct<spelling: string, toks: array<string>>")
     return df.withColumn("__n", udf(F.col(column))).withColumn("spelling", F.col("__n.spelling")).withColumn("toks", F.col("__n.toks")).drop("__n")
@@ -81,141 +88,243 @@ def mailbox_roots(boxes: DataFrame) -> DataFrame:
 
 
 def similar(a: str, b: str) -> float:
-    """1 equal, 0.9 one edit or swap, 0.8 two in long words, 0.7 the beginning, 0.5 the initial, else 0."""
+    """1 equal, 0.9 one edit or swap (in words of four letters or more) or all but a letter, 0.7 the beginning, 0.5 the initial, else 0."""
     if a == b:
         return 1.0 if len(a) > 1 else 0.5
     if len(a) == 1 or len(b) == 1:
         return 0.5 if a[0] == b[0] else 0.0
-    short, long = sorted((a, b), key=len)
+    short, long = (a, b) if len(a) <= len(b) else (b, a)
     if len(short) >= 3 and long.startswith(short):
         return 0.7 if len(long) - len(short) > 1 else 0.9
-    if len(long) - len(short) > 2 or len(short) < 4:
+    if len(long) - len(short) > 1 or len(short) < 4:
         return 0.0
-    d = edits(a, b)
-    return 0.9 if d <= 1 else 0.8 if d == 2 and len(short) >= 7 else 0.0
-
-
-def edits(a: str, b: str) -> int:
-    """Edits with swaps of neighbours as one."""
-    before, row = [], list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, before, row = before, row, [i]
-        for j, y in enumerate(b, 1):
-            d = min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, last[j - 2] + 1)
-            row.append(d)
-    return row[-1]
-
-
-def align(a: list[str], b: list[str]) -> tuple[float, int, str]:
+    i = 0
+    while i < len(short) and short[i] == long[i]:
+        i += 1
+    if len(long) > len(short):
+        return 0.9 if short[i:] == long[i + 1 :] else 0.0
+    other = short[i + 1 :] == long[i + 1 :] or (short[i : i + 2] == long[i : i + 2][::-1] and short[i + 2 :] == long[i + 2 :])
+    return 0.9 if other else 0.0
+
+
+def _edges(short: list[str], long: list[str]) -> dict[int, dict[int, float]]:
+    """Similarities above 0 of every word of ``short`` to words of ``long``. Words of long lists are compared only
+    where they share their first letter, a letter being left out, or the word without one: all others are 0."""
+    # an initial in a longer name stands for none of the shorter name's words
+    less = len(short) < len(long)
+    if len(short) * len(long) <= 64:
+        pairs = ((i, j) for i in range(len(short)) for j in range(len(long)))
+    else:
+        at: dict[str, list[int]] = defaultdict(list)
+        for j, y in enumerate(long):
+            for k in {y[0] + "*", y, *(y[:n] + y[n + 1 :] for n in range(len(y)))}:
+                at[k].append(j)
+        pairs = ((i, j) for i, x in enumerate(short) for j in sorted({j for k in {x[0] + "*", x, *(x[:n] + x[n + 1 :] for n in range(len(x)))} for j in at.get(k, ())}))
+    out: dict[int, dict[int, float]] = {}
+    for i, j in pairs:
+        x, y = short[i], long[j]
+        if (s := 0.0 if less and len(y) == 1 < len(x) else similar(x, y)) > 0:
+            out.setdefault(i, {})[j] = s
+    return out
+
+
+def _best(rows: list[int], edges: dict[int, dict[int, float]]) -> dict[int, int] | None:
+    """The assignment of all ``rows`` to different columns with the greatest sum (Hungarian algorithm), None if there is none."""
+    columns = sorted({j for i in rows for j in edges[i]})
+    if len(columns) < len(rows):
+        return None
+    if len(rows) <= 3 and len(columns) <= 5:
+        made = [(sum(edges[i][j] for i, j in zip(rows, at, strict=True)), at) for at in permutations(columns, len(rows)) if all(j in edges[i] for i, j in zip(rows, at, strict=True))]
+        return dict(zip(rows, max(made, key=lambda m: m[0])[1], strict=True)) if made else None
+    none, n, m = 1e6, len(rows), len(columns)
+    cost = [[1 - edges[i][j] if j in edges[i] else none for j in columns] for i in rows]
+    u, v, owner, way = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1), [0] * (m + 1)
+    for i in range(1, n + 1):
+        owner[0], j0 = i, 0
+        least, used = [float("inf")] * (m + 1), [False] * (m + 1)
+        while True:
+            used[j0] = True
+            i0, delta, j1 = owner[j0], float("inf"), 0
+            for j in range(1, m + 1):
+                if not used[j]:
+                    c = cost[i0 - 1][j - 1] - u[i0] - v[j]
+                    if c < least[j]:
+                        least[j], way[j] = c, j0
+                    if least[j] < delta:
+                        delta, j1 = least[j], j
+            for j in range(m + 1):
+                if used[j]:
+                    u[owner[j]] += delta
+                    v[j] -= delta
+                else:
+                    least[j] -= delta
+            j0 = j1
+            if not owner[j0]:
+                break
+        while j0:
+            owner[j0], j0 = owner[way[j0]], way[j0]
+    out = {rows[owner[j] - 1]: columns[j - 1] for j in range(1, m + 1) if owner[j]}
+    return out if all(j in edges[i] for i, j in out.items()) else None
+
+
+def assign(short: list[str], long: list[str]) -> dict[int, int] | None:
+    """Optimal assignment of every word of ``short`` to a word of ``long``, group by group of words that can be
+    exchanged; None if a word stays alone."""
+    edges = _edges(short, long)
+    if len(edges) < len(short):
+        return None
+    if len(short) <= 3:
+        return _best(list(range(len(short))), edges)
+    rows_of: dict[int, list[int]] = defaultdict(list)
+    for i, to in edges.items():
+        for j in to:
+            rows_of[j].append(i)
+    out, seen = {}, set()
+    for i in edges:
+        if i in seen:
+            continue
+        group, open_ = [], [i]
+        seen.add(i)
+        while open_:
+            x = open_.pop()
+            group.append(x)
+            for j in edges[x]:
+                open_ += [y for y in rows_of[j] if y not in seen]
+                seen.update(rows_of[j])
+        best = _best(sorted(group), edges)
+        if best is None:
+            return None
+        out |= best
+    return out
+
+
+def align(a: list[str], b: list[str]) -> tuple[float, int, str, str]:
     """Optimal assignment of the shorter list's words to different words of the longer: (sum of
-    similarities, how many are more than initials, the word of b that an initial of a stands for);
-    (0, 0, '') if a word stays alone."""
+    similarities, how many are more than initials, the word of b that an initial of a stands for, the word of a that
+    one of b stands for); zeros if a word stays alone."""
     turned = len(a) > len(b)
     short, long = (b, a) if turned else (a, b)
-    if len(short) > LONG:  # not a person's usual name: the same words, whatever their number
-        same = len(set(short) & set(long))
-        return (float(same), same, "") if same == len(set(short)) else (0.0, 0, "")
-    # an initial in a longer name stands for none of the shorter name's words
-    grid = [[0.0 if len(y) == 1 < len(x) and len(short) < len(long) else similar(x, y) for y in long] for x in short]
-    best: tuple[float, int, tuple[int, ...]] = (0.0, 0, ())
-
-    def go(i: int, used: int, total: float, whole: int, at: tuple[int, ...]) -> None:
-        nonlocal best
-        if i == len(short):
-            if (total, whole) > best[:2]:
-                best = (total, whole, at)
-            return
-        for j, s in enumerate(grid[i]):
-            if s and not used >> j & 1:
-                go(i + 1, used | 1 << j, total + s, whole + (s > 0.5), (*at, j))
-
-    go(0, 0, 0.0, 0, ())
-    if len(best[2]) < max(2, len(short)):
-        return 0.0, 0, ""
-    word = ""
-    for x, j in zip(short, best[2], strict=True):
-        y = long[j]
-        mine, theirs = (y, x) if turned else (x, y)
-        if len(mine) == 1 and len(theirs) > 1 and not word:
-            word = theirs
-    return best[0], best[1], word
+    best = assign(short, long) if len(short) >= 2 else None
+    if best is None:
+        return 0.0, 0, "", ""
+    total, whole, words = 0.0, 0, ["", ""]
+    for i, j in best.items():
+        x, y = short[i], long[j]
+        s = similar(x, y)
+        total, whole = total + s, whole + (s > 0.5)
+        for side, (mine, theirs) in enumerate(((x, y), (y, x))):
+            if len(mine) == 1 < len(theirs) and not words[side]:
+                words[side] = theirs
+    return (total, whole, words[1], words[0]) if turned else (total, whole, words[0], words[1])
+
+
+def name_id(space: Column | None = None) -> Column:
+    """128 bits for a firm and the words of a name (and a table)."""
+    return F.unhex(F.md5(F.concat_ws("\x01", F.lit("name") if space is None else space, "firm", F.array_join(F.array_sort("toks"), "\x02"))))
 
 
 def deletes(t: Column) -> Column:
-    """A word of five letters or more with none or one letter taken out; a shorter one as it is."""
+    """A word of four letters or more with none or one letter taken out; a shorter one as it is."""
     some = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1))), lambda i: F.concat(F.substr(t, F.lit(1), i - 1), F.substr(t, i + 1)))
-    return F.when(F.length(t) >= 5, F.array_append(some, t)).otherwise(F.array(t))
+    return F.when(F.length(t) >= 4, F.array_append(some, t)).otherwise(F.array(t))
+
+
+def akin_words(words: DataFrame) -> DataFrame:
+    """firm, word, akin: the words of a firm that are the same, one edit or swap away (symmetric-delete index over
+    the different words) or the beginning of one another."""
+    w = words.select("firm", "word")
+    keyed = w.filter("length(word) >= 4").select("firm", "word", F.explode(deletes(F.col("word"))).alias("d"))
+    near = keyed.join(keyed.withColumnRenamed("word", "akin"), ["firm", "d"]).filter("word <> akin").select("firm", "word", "akin")
+    near = near.filter(within_one_edit(F.col("word"), F.col("akin"))).distinct()
+    begins = w.filter("length(word) >= 4").select("firm", F.col("word").alias("long"), F.explode(F.transform(F.sequence(F.lit(3), F.length("word") - 1), lambda n: F.substr("word", F.lit(1), n))).alias("word"))
+    begins = begins.join(w.filter("length(word) >= 3"), ["firm", "word"]).select("firm", "word", F.col("long").alias("akin"))
+    begins = begins.unionAll(begins.select("firm", F.col("akin").alias("word"), F.col("word").alias("akin")))
+    return w.withColumn("akin", F.col("word")).unionAll(near).unionAll(begins)
+
+
+def name_pairs(names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(akin words of a firm, pairs). Pairs are a, b, strong, a_word, b_word of names (name, firm, toks) of one firm that align; words are those that an
+    initial of the name stands for, strong means two words or more in common that are no initials.
+
+    All words of the shorter of two aligned names have their match. So a name without initials only looks for its rarest
+    word in the firm and the words akin to it, never for a common given name; one with initials looks for each of
+    its words beside its first initial. Both orders are asked, so the shorter name's question finds the pair.
+    """
+    whole = F.filter("toks", lambda t: F.length(t) > 1)
+    initial = F.try_element_at(F.filter("toks", lambda t: F.length(t) == 1), F.lit(1))
+    named = names.withColumn("whole", whole).withColumn("initial", initial)
+    long = named.select("name", "firm", "initial", F.explode("whole").alias("word"))
+    df = written(long.groupBy("firm", "word").agg(F.count("*").alias("df")), "words")
+    akin = written(akin_words(df), "akin")
+    rare = long.join(df, ["firm", "word"])
+    rarest = rare.filter("initial is null").groupBy("name", "firm").agg(F.min_by("word", F.struct("df", "word")).alias("word"))
+    asks = rarest.select("name", "firm", "word", F.lit("").alias("beside")).unionAll(long.filter("initial is not null").select("name", "firm", "word", F.col("initial").alias("beside")))
+    asks = asks.join(akin, ["firm", "word"]).select(F.col("name").alias("a"), "firm", "akin", "beside", "word")
+    asks = asks.join(names.select(F.col("name").alias("a"), F.col("toks").alias("at")), "a")
+    firsts = F.array_distinct(F.transform(F.filter("toks", lambda u: u != F.col("akin")), lambda u: F.substr(u, F.lit(1), F.lit(1))))
+    held = named.select(F.col("name").alias("b"), "firm", F.col("toks").alias("bt"), "toks", "initial", F.explode("whole").alias("akin"))
+    held = held.join(rarest.select(F.col("name").alias("b"), F.col("word").alias("rarest")), "b", "left")
+    held = held.select("b", "firm", "bt", "akin", "rarest", F.explode(F.array_append(firsts, F.lit(""))).alias("beside"))
+    met = asks.join(held, ["firm", "akin", "beside"]).filter("a <> b")
+    # where both names ask for these words the pair is kept once
+    met = met.filter("a < b or beside <> '' or rarest is null or rarest <> akin").select("a", "b", "at", "bt")
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for a, b, x, y in zip(pdf["a"], pdf["b"], pdf["at"], pdf["bt"], strict=True):
+                _, whole, aw, bw = align(list(x), list(y))
+                if whole:
+                    out.append((a, b, whole >= 2, aw, bw) if a < b else (b, a, whole >= 2, bw, aw))
+            yield pd.DataFrame(out, columns=["a", "b", "strong", "a_word", "b_word"])
 
-def token_keys(toks: Column) -> Column:
-    """Symmetric-delete keys of a name: every word of five letters or more with none or one letter taken
-    out (shorter words as they are), beside the initial of another word of the name."""
-    def beside(t: Column) -> Column:
-        firsts = F.array_distinct(F.transform(F.filter(toks, lambda u: u != t), lambda u: F.substr(u, F.lit(1), F.lit(1))))
-        return F.flatten(F.transform(deletes(t), lambda d: F.transform(firsts, lambda c: F.concat(d, F.lit("|"), c))))
+    found = met.mapInPandas(run, "a binary, b binary, strong boolean, a_word string, b_word string")
+    return akin, written(found.dropDuplicates(["a", "b"]), "pairs")
 
-    return F.array_distinct(F.flatten(F.transform(F.filter(toks, lambda t: F.length(t) >= 3), beside)))
 
+def doubtful(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(names whose initials meet a word, those of them whose initials meet different words) in directed weak pairs
+    (a, word)."""
+    meets = pairs.filter("word <> ''").groupBy("a").agg(F.min("word").alias("w0"), F.max("word").alias("w1"))
+    return meets.select("a"), meets.filter(F.levenshtein("w0", "w1") > 2).select("a")
 
-def name_links(records: DataFrame) -> DataFrame:
-    """a, b of records (rec, space, firm, toks) of one space and firm whose names align. A name with an
-    initial only counts where all full names it could stand for agree."""
-    named = records.filter("firm is not null and size(toks) >= 2")
-    keyed = named.select("rec", "space", "firm", F.explode(token_keys(F.col("toks"))).alias("k")).select("rec", F.xxhash64("space", "firm", "k").alias("key"))
-    # only ids meet under a key; the words are fetched for the pairs found
-    met = keyed.select(F.col("rec").alias("a"), "key").join(keyed.select(F.col("rec").alias("b"), "key"), "key").filter("a < b").select("a", "b").distinct()
-    words = named.select("rec", "toks")
-    pairs = met.join(words.select(F.col("rec").alias("a"), F.col("toks").alias("at")), "a").join(words.select(F.col("rec").alias("b"), F.col("toks").alias("bt")), "b")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for a, b, x, y in zip(pdf["a"], pdf["b"], pdf["at"], pdf["bt"], strict=True):
-                x, y = list(x), list(y)
-                total, whole, word = align(x, y)
-                if whole >= 2:
-                    out.append((a, b, True, ""))
-                elif whole == 1:
-                    back = align(y, x)[2]
-                    out += [(a, b, False, word), (b, a, False, back)]
-            yield pd.DataFrame(out, columns=["a", "b", "strong", "word"])
-
-    found = written(pairs.mapInPandas(run, "a bigint, b bigint, strong boolean, word string"), "namelinks")
-    strong = found.filter("strong").select("a", "b")
-    weak = found.filter("not strong")
-    # records that stand as an initial: what words the initial meets
-    meets = weak.filter("word <> ''").groupBy("a").agg(F.min("word").alias("w0"), F.max("word").alias("w1"))
-    agree = meets.filter(F.levenshtein("w0", "w1") <= 2).select(F.col("a"), F.lit(True).alias("agree"))
-    asked = meets.select("a", F.lit(True).alias("asked"))
-    weak = weak.join(agree, "a", "left").join(asked, "a", "left")
-    by_word = weak.filter("word <> '' and agree").select("a", "b")
-    both = weak.filter("word = '' and asked is null").join(asked.select(F.col("a").alias("b"), F.lit(True).alias("b_asked")), "b", "left").filter("b_asked is null")
-    both = both.filter("a < b").select("a", "b")
-    return strong.unionAll(by_word).unionAll(both)
-
-
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """rec, person: the smallest record id that each record is connected with. Labels move along edges
+def both_ways(pairs: DataFrame) -> DataFrame:
+    """Directed weak pairs a, b, word."""
+    weak = pairs.filter("not strong")
+    return weak.select("a", "b", F.col("a_word").alias("word")).unionAll(weak.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("b_word").alias("word")))
+
+
+def links(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b of linked names, names (a) that stand for several). A name with an initial only counts where all full
+    names that it could stand for agree."""
+    weak = both_ways(pairs)
+    asked, unclear = doubtful(weak)
+    by_word = weak.filter("word <> ''").join(unclear, "a", "left_anti").select("a", "b")
+    plain = weak.filter("word = '' and a < b").join(asked, "a", "left_anti").join(asked.select(F.col("a").alias("b")), "b", "left_anti")
+    return pairs.filter("strong").select("a", "b").unionAll(by_word).unionAll(plain.select("a", "b")), unclear
+
+
+def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
+    """rec, person: the smallest node that each node of an edge is connected with. Labels move along edges
     and then to the label's label; each round is a written table."""
     both = written(edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels, last = nodes.select("rec").distinct().withColumn("person", F.col("rec")), None
+    # the first round needs no labels: the smallest neighbour or the node itself
+    last = written(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("rec"), F.least("a", "b").alias("person")), "labels")
     for _ in range(rounds):
-        near = both.join(labels, both.b == labels.rec).groupBy("a").agg(F.min("person").alias("least"))
-        step = labels.join(near, labels.rec == near.a, "left").select("rec", F.col("person").alias("was"), F.least("person", F.coalesce("least", "person")).alias("mid"))
-        jump = step.select(F.col("rec").alias("mid"), F.col("mid").alias("far"))
-        new = written(step.join(jump, "mid", "left").select("rec", "was", F.least("mid", F.coalesce("far", "mid")).alias("person")), "labels")
-        labels = new.select("rec", "person")
-        if last is not None:
-            discard(last)
+        near = both.join(last, both.b == last.rec).groupBy("a").agg(F.min("person").alias("least"))
+        step = last.join(near, last.rec == near.a).select("rec", F.col("person").alias("was"), F.least("person", "least").alias("mid"))
+        jump = last.select(F.col("rec").alias("mid"), F.col("person").alias("far"))
+        new = written(step.join(jump, "mid").select("rec", "was", F.least("mid", "far").alias("person")), "labels")
+        done = new.filter("was <> person").isEmpty()
+        discard(last)
         last = new
-        if new.filter("was <> person").isEmpty():
+        if done:
             break
     else:
         raise RuntimeError("components did not settle")
     discard(both)
-    return labels
+    return last.select("rec", "person")
 
 
 def majority(pairs: DataFrame, key: str, value: str, share: float = 0.6) -> DataFrame:
@@ -236,7 +345,7 @@ class People:
         listed = firm_ref.select(F.col("firm_name").alias("__f"), F.col("firm_id").alias("__id"))
         c = find_entry(c, "firm", firm_ref, "firm_id", "firm_name", "fid").join(F.broadcast(listed.dropDuplicates(["__f"])), F.col("firm") == F.col("__f"), "left")
         other = F.regexp_replace(F.regexp_replace(F.lower("firm"), r"\b(pte|ltd|llp|limited|inc)\b|\([a-z]\)", ""), r"[^\p{L}\p{N}]", "")
-        typed = F.when(F.col("__id").isNotNull(), F.concat(F.lit("f"), F.col("__id"))).when(F.col("fid") > 0, F.concat(F.lit("f"), F.col("fid"))).when(~other.isin("", "unknown"), F.concat(F.lit("u"), other))
+        typed = F.when(F.col("__id").isNotNull(), F.concat(F.lit("f"), F.col("__id"))).when(F.col("fid") >= 0, F.concat(F.lit("f"), F.col("fid"))).when(~other.isin("", "unknown"), F.concat(F.lit("u"), other))
         c = written(c.select("contact_id", "spelling", "toks", "box", typed.alias("typed")), "contacts")
         h = hits.select("hit_id", "nearby_name", mailbox(F.col("email")).alias("box"), F.coalesce("is_role", F.lit(False)).alias("role"), site_of(F.col("source_url")).alias("site"))
         h = written(with_names(h, "nearby_name", short_names).drop("nearby_name"), "hits")
@@ -250,33 +359,49 @@ class People:
         # a site's firm: what contacts with an address of that domain mostly say
         c = c.join(roots, "box", "left")
         c = c.withColumn("domain", domain_of(F.coalesce("root", F.lit(None).cast("string"))))
-        firm_of = written(majority(c, "domain", "typed").select(F.col("domain").alias("site"), F.col("typed").alias("site_firm")), "sites")
+        self.sites = firm_of = written(majority(c, "domain", "typed").select(F.col("domain").alias("site"), F.col("typed").alias("site_firm")), "sites")
         c = c.join(firm_of.select(F.col("site").alias("domain"), "site_firm"), "domain", "left").withColumn("firm0", F.coalesce("site_firm", "typed"))
         by_box = majority(c, "root", "firm0", 0.5).select("root", F.col("firm0").alias("box_firm"))
         c = c.join(by_box, "root", "left")
         # an unlisted firm is taken as typed only where the mailbox says nothing
         c = c.withColumn("firm", F.coalesce("site_firm", "box_firm", "firm0"))
-        self.contacts = self._records(c.withColumn("root", F.when(~F.col("desk"), F.col("root"))), "contact_id", "c")
+        c = c.withColumn("root", F.when(~F.col("desk"), F.col("root")))
         h = h.join(roots, "box", "left").filter("not coalesce(desk, false) and not role")
         h = h.join(firm_of, "site", "left").withColumn("firm", F.coalesce("site_firm", F.concat(F.lit("s"), F.col("site"))))
-        self.hits = self._records(h, "hit_id", "h")
+        self.contacts, self.hits = self._rows(c, "contact_id", "c"), self._rows(h, "hit_id", "h")
         self._resolve()
 
     @staticmethod
-    def _records(df: DataFrame, id_column: str, space: str) -> DataFrame:
-        rows = df.select(id_column, F.lit(space).alias("space"), "spelling", "toks", "firm", "root")
-        key = F.xxhash64("space", F.array_join(F.array_sort("toks"), " "), F.coalesce("firm", F.lit("")), F.coalesce("root", F.lit("")))
-        # a row without name and mailbox is a record of its own
-        alone = F.col("root").isNull() & ((F.size("toks") < 2) | F.col("firm").isNull())
-        return written(rows.withColumn("rec", F.when(alone, F.xxhash64("space", F.lit("row"), id_column)).otherwise(key)), f"records-{space}")
+    def _rows(df: DataFrame, id_column: str, space: str) -> DataFrame:
+        """Rows with their name (null if it cannot be told apart), and the node of the graph they stand at: the
+        mailbox, else the name, else the row itself."""
+        rows = df.select(id_column, "spelling", "toks", "firm", "root").withColumn("space", F.lit(space))
+        named = F.col("firm").isNotNull() & (F.size("toks") >= 2)
+        rows = rows.withColumn("name", F.when(named & F.exists("toks", lambda t: F.length(t) > 1), name_id()))
+        box = F.unhex(F.md5(F.concat_ws("\x01", F.lit("box"), "space", "root")))
+        row = F.unhex(F.md5(F.concat_ws("\x01", F.lit("row"), "space", F.col(id_column).cast("string"))))
+        node = F.when(F.col("root").isNotNull(), box).when(named, name_id(F.col("space"))).otherwise(row)
+        return written(rows.withColumn("node", node).withColumn("name_node", F.when(F.col("name").isNotNull(), name_id(F.col("space")))), f"rows-{space}")
 
     def _resolve(self) -> None:
-        cols = ["rec", "space", "firm", "toks", "root"]
-        records = self.contacts.select(*cols).unionAll(self.hits.select(*cols)).dropDuplicates(["rec"])
-        records = written(records, "records")
-        first = records.filter("root is not null").groupBy("space", "root").agg(F.min("rec").alias("b"))
-        same_box = records.join(first, ["space", "root"]).filter("rec <> b").select(F.col("rec").alias("a"), "b")
-        persons = components(records, same_box.unionAll(name_links(records)))
-        self.persons = persons
-        self.contacts = written(self.contacts.join(persons, "rec"), "people-c")
-        self.hits = written(self.hits.join(persons, "rec"), "people-h")
+        """Persons: connected nodes. Copies of a name or a mailbox are one node, however many rows they have."""
+        both = [self.contacts.filter("name is not null"), self.hits.filter("name is not null")]
+        flags = [r.select("name", "firm", F.array_sort("toks").alias("toks"), F.lit(r is both[0]).alias("in_c")) for r in both]
+        names = flags[0].unionAll(flags[1]).groupBy("name").agg(F.first("firm").alias("firm"), F.first("toks").alias("toks"), F.bool_or("in_c").alias("in_c"), F.bool_or(~F.col("in_c")).alias("in_h"))
+        self.names = written(names, "names")
+        self.akin, self.pairs = name_pairs(self.names)
+        self.contacts, self.hits = [self._persons(r, f"in_{s}") for r, s in ((self.contacts, "c"), (self.hits, "h"))]
+
+    def _persons(self, rows: DataFrame, flag: str) -> DataFrame:
+        mine = self.names.filter(flag).select("name")
+        pairs = self.pairs.join(mine.select(F.col("name").alias("a")), "a", "left_semi").join(mine.select(F.col("name").alias("b")), "b", "left_semi")
+        linked, unclear = links(pairs)
+        # a name that could stand for several persons links nobody, nor do its copies
+        unclear = unclear.join(self.names.filter("size(filter(toks, t -> length(t) > 1)) < 2").select(F.col("name").alias("a")), "a", "left_semi").select(F.col("a").alias("name"))
+        at = written(rows.filter("name is not null").select("name", "name_node", F.when(F.col("root").isNotNull(), F.col("node")).alias("box")).distinct(), "at")
+        node = at.select("name", "name_node").distinct()
+        edges = linked.join(node.select(F.col("name").alias("a"), F.col("name_node").alias("x")), "a").join(node.select(F.col("name").alias("b"), F.col("name_node").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        boxes = at.filter("box is not null").join(unclear, "name", "left_anti").select(F.col("name_node").alias("a"), F.col("box").alias("b"))
+        persons = components(edges.unionAll(boxes))
+        out = rows.join(persons.withColumnRenamed("rec", "node"), "node", "left").withColumn("person", F.coalesce("person", "node"))
+        return written(out.drop("node", "name_node"), "people")

@@ -48,6 +48,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p03.found(*_people_tables(spark, d))
 
 
+def p3_members(spark: SparkSession, d: str) -> DataFrame:
+    return p03.members(*_people_tables(spark, d))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p04.matched_rows(*_people_tables(spark, d)).select("contact_id", "hit_id")
 
@@ -100,4 +104,4 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     return p10.shares(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_canonical, p2_found, p2_records, p3_found, p4_found, p4_matches, p5_found, p5_batches, p6_found, p7_found, p7_current, p8_ids, p9_found, p9_clean, p10_found, p10_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_canonical, p2_found, p2_records, p3_found, p3_members, p4_found, p4_matches, p5_found, p5_batches, p6_found, p7_found, p7_current, p8_ids, p9_found, p9_clean, p10_found, p10_shares)}

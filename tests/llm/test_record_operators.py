@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import itertools
 import random
 
 import pytest
@@ -255,6 +256,35 @@ def test_alignment(a, b, same):
     assert people.align(people.parse_name(a, full)[1], people.parse_name(b, full)[1])[1] == same
 
 
+def test_assignment_is_optimal_at_every_length():
+    rng = random.Random(12)
+    words = ["mia", "mi", "m", "stone", "stoen", "ston", "stones", "lux", "luxor", "l", "anna", "ann", "annabel", "robert", "robret", "r"]
+
+    def brute(a, b):
+        a, b = (a, b) if len(a) <= len(b) else (b, a)
+        best = -1.0
+        for at in itertools.permutations(range(len(b)), len(a)):
+            got = [0.0 if len(b[j]) == 1 < len(x) and len(a) < len(b) else people.similar(x, b[j]) for x, j in zip(a, at)]
+            if all(got):
+                best = max(best, sum(got))
+        return best
+
+    for _ in range(300):
+        a, b = rng.sample(words, rng.randint(2, 5)), rng.sample(words, rng.randint(2, 6))
+        want = brute(a, b)
+        assert people.align(a, b)[0] == pytest.approx(max(want, 0.0)), (a, b)
+    # more words than a usual name has: one slip still aligns, another word does not
+    long = [f"{w}word" for w in "abcdefghijklmnopqrstuvwxyz"]
+    assert people.align(long, [*long[:-1], "zwrod"])[1] == 26 and people.align(long[:9], ["awordd", *long[1:9]])[1] == 9
+    assert people.align(long, [*long[:-1], "other"])[1] == 0
+    assert people.align([f"w{i}x" for i in range(1500)], [f"w{i}x" for i in range(1499, -1, -1)])[1] == 1500
+
+
+@pytest.mark.parametrize(("a", "b", "want"), [("anna", "anan", 0.9), ("anna", "annas", 0.9), ("stone", "stoone", 0.9), ("stone", "stane", 0.9), ("ben", "benjamin", 0.7), ("tan", "ton", 0.0), ("stone", "stnoee", 0.0), ("m", "mia", 0.5), ("m", "m", 0.5), ("mia", "mia", 1.0)])
+def test_similar_words(a, b, want):
+    assert people.similar(a, b) == people.similar(b, a) == want
+
+
 SHORT = [("Robert", "Bob")]
 
 
@@ -262,7 +292,7 @@ def tables(spark, c, h):
     return contacts(spark, c), hits(spark, h), spark.createDataFrame(REFERENCE, "firm_id bigint, firm_name string"), spark.createDataFrame(SHORT, "given string, short_form string")
 
 
-def test_persons(spark):
+def test_persons(spark, monkeypatch):
     c = [
         (1, "Robert Kivefirol", "robert.kivefirol@alderwp.test", "Alder Wealth Partners"), (2, "Bob Kivefirol", None, "Alder Wlth Partners"), (3, "KIVEFIROL, R.", None, "Alder Wealth Partners"), (4, "Robert Kivefirol", None, "Brackmoor"), (5, "robert  kivefirol", "ROBERT.KIVEFIROL@alderwp.test", "own practice"),
         (6, None, None, "Alder Wealth Partners"), (7, "Samuel Ruhegaji", None, "Brackmoor"), (8, "Sebastian Ruhegaji", None, "Brackmoor"), (9, "S. Ruhegaji", None, "Brackmoor"), (10, "x" * 20_000, None, None), (2, "Bob Kivefirol", None, "Alder Wlth Partners"),
@@ -276,6 +306,10 @@ def test_persons(spark):
     t = tables(spark, c, h)
     got = {tuple(r) for r in p03.found(*t).collect()}
     assert got == {(1, 2), (1, 3), (2, 3), (2, 5), (3, 5), (11, 12), (100, 102), (101, 102)}
+    kept = {(r.src, r.row_id): r.person for r in p03.members(*t).collect()}
+    assert len({kept["contacts", i] for i in (1, 2, 3, 5)}) == 1 and kept["contacts", 4] != kept["contacts", 1] and ("hits", 106) not in kept
+    monkeypatch.setattr(p03, "ROWS", 2)
+    assert {tuple(r) for r in p03.found(*t).collect()} == got
     rows = p04.matched_rows(*t).collect()
     assert {tuple(r)[:2] for r in rows} == {(i, j) for i in (1, 2, 3, 5) for j in (100, 101, 102, 104, 106)}
     assert all(0 < r.confidence <= 1 for r in rows)
@@ -302,7 +336,41 @@ def test_persons_of_empty_tables(spark):
 
 
 def test_components(spark):
-    nodes = spark.range(40).select(F.col("id").alias("rec"))
     edges = [(i, i + 1) for i in range(0, 18)] + [(20, 25), (25, 30)]
-    got = {r.rec: r.person for r in people.components(nodes, spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
-    assert all(got[i] == 0 for i in range(19)) and got[30] == got[25] == 20 and got[39] == 39 and len(got) == 40
+    got = {r.rec: r.person for r in people.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert all(got[i] == 0 for i in range(19)) and got[30] == got[25] == 20 and len(got) == 22
+
+
+def test_name_pairs_equal_brute_force(spark):
+    """Asking for the rarest word, or beside an initial, finds every pair of names that aligns."""
+    rng = random.Random(5)
+    given, sur = ["mia", "ben", "benjamin", "anna", "robert", "m", "b", "r"], ["stone", "stoen", "reed", "reeds", "kivefirol", "kivefrol", "ng", "s", "k"]
+    names = {tuple(sorted({*rng.sample(given, rng.randint(1, 2)), *rng.sample(sur, rng.randint(1, 2))})) for _ in range(70)}
+    names = sorted(n for n in names if len(n) >= 2 and any(len(w) > 1 for w in n))
+    rows = [(f"{i:03d}".encode(), "f1" if i % 2 else "f2", list(n)) for i, n in enumerate(names)]
+    want = {(a, b) for a, fa, x in rows for b, fb, y in rows if a < b and fa == fb and people.align(x, y)[1]}
+    got = people.name_pairs(spark.createDataFrame(rows, "name binary, firm string, toks array<string>"))[1].collect()
+    assert {(bytes(r.a), bytes(r.b)) for r in got} == want and len(got) == len(want) > 50
+
+
+def test_retrieval_equals_scoring_every_pair(spark):
+    rng = random.Random(7)
+    vocabulary = [f"n:w{i}" for i in range(12)] + [f"q:w{i}|f" for i in range(12)] + [f"l:x{i}|f" for i in range(6)] + [f"m:b{i}" for i in range(6)]
+
+    def side(n, start):
+        return [(start + i, t) for i in range(n) for t in rng.sample(vocabulary, rng.randint(1, 7))]
+
+    q, index = side(40, 0), side(60, 1000)
+    akin = spark.createDataFrame([("f", "w1", "w1"), ("f", "w1", "w2"), ("f", "w2", "w1")], "firm string, word string, akin string")
+    named = spark.createDataFrame([(i, 1000 + i) for i in range(0, 40, 5)], "c bigint, h bigint")
+    qt, postings = p04.prepared(spark.createDataFrame(q, "ent bigint, term string"), spark.createDataFrame(index, "ent bigint, term string"), akin)
+    got = {(r.c, r.h): r.score for r in p04.scored(qt, postings, named).collect()}
+    pairs = spark.createDataFrame([(c, h) for c in range(40) for h in range(1000, 1060)], "c bigint, h bigint")
+    every = {(r.c, r.h): r.score for r in p04.scores(pairs, qt, postings).collect()}
+    keyed = lambda t: t[:2] in ("m:", "l:")
+    eligible = {(c, h) for c, t in q for h, u in index if t == u and keyed(t)} | {(c, h) for c, h in ((i, 1000 + i) for i in range(0, 40, 5)) if (c, h) in every}
+    least = {}
+    for c, h in eligible:
+        least[c] = max(least.get(c, 0.0), p04.NEAR * every[c, h])
+    want = {p: s for p, s in every.items() if p in eligible or s >= least.get(p[0], 1e9)}
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want) and len(want) > len(eligible)
