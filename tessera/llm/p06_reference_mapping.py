@@ -1,34 +1,38 @@
 """Problem 6: free-entered values are mapped to the entry of a reference list that is meant.
 
-The reference entries, and the shorter forms that point to one entry only (its first words, its
-initials), stand in a BK-tree under the Levenshtein metric. A value is reduced to its words (legal
+The reference entries and their shorter forms (first words, initials) stand in a BK-tree under the Levenshtein metric. A value is reduced to its words (legal
 forms and places off, abbreviations written out by the words of the list), and each reading is
-searched; the triangle inequality prunes the tree and every entry within the threshold comes back.
-The nearest entry wins; a tie between different entries means that none is meant.
+searched; the triangle inequality prunes the tree and every key within the threshold comes back.
+The nearest key wins, of equally near ones a full name before a beginning before initials, over all readings
+of the value; a tie between different entries means that none is meant. A reading that is a key itself has
+distance 0, so the tree is searched only where no reading is one.
 
-The tree is broadcast while the list has at most ``MAX_ENTRIES`` entries. A longer list is cut into
-shards of that size; each shard's winners are merged by distance.
+Which entries a form points to, and by which words abbreviations are written out, is found over the whole
+list. A list of at most ``MAX_ENTRIES`` entries is broadcast with its tree. A longer one never comes to the
+driver: its forms are cut into shards of that size, values meet shards in blocks of bounded size, each block builds
+the tree of its shard, and the shards' winners are merged. Both ways give the same rows (tested).
 
 Defined cases: null, blank and ``Unknown`` values and values equal to an entry are not looked up;
-very long values are read whole; an empty list maps everything to -1.
+two entries of one name are a tie; very long values are read whole; an empty list maps everything to -1.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
 from .p01_canonical_text import canonical
 
 MAX_ENTRIES = 20_000
 THRESHOLD = 2
 CACHE = 1 << 16
+FULL, BEGINNING, INITIALS = 0, 1, 2
 
 # Words of legal forms.
 LEGAL = {"pte", "ltd", "llp", "limited", "inc", "llc", "plc", "co", "s", "corp", "gmbh"}
@@ -98,122 +102,183 @@ def subsequence(short: str, long: str) -> bool:
     return all(c in rest for c in short)
 
 
-class Reference:
-    """The tree over one shard of the list, with the words that abbreviations may stand for."""
-
-    def __init__(self, entries: list[tuple[int, str]]) -> None:
-        self.tree, self.owner = BKTree(), {}
-        owners: dict[str, set[int]] = defaultdict(set)
-        self.vocabulary: set[str] = set()
-        for firm_id, name in entries:
-            spoken = words(name)
-            w = [x for x in spoken if x != "and"]
-            for k in range(1, len(w) + 1):
-                owners["".join(w[:k])].add(firm_id)
-            if len(w) >= 2:
-                for form in (w, spoken):
-                    owners["=" + "".join(x[0] for x in form)].add(firm_id)
-            self.vocabulary |= {x for x in w[1:] if len(x) > 3}
-            owners["".join(w)] = {firm_id} | {f for f in owners["".join(w)] if f == firm_id}
-        self.initials = {k[1:]: next(iter(v)) for k, v in owners.items() if k[0] == "=" and len(v) == 1}
-        for key, ids in owners.items():
-            if key[0] != "=" and len(ids) == 1:
-                self.owner[key] = next(iter(ids))
+def forms(name: str) -> list[tuple[str, int]]:
+    """(key, kind) of an entry: its full name, its beginnings, its initials with and without "and"."""
+    spoken = words(name)
+    w = [x for x in spoken if x != "and"]
+    out = [("".join(w[:k]), FULL if k == len(w) else BEGINNING) for k in range(1, len(w) + 1)]
+    if len(w) >= 2:
+        out += [(k, INITIALS) for k in sorted({"".join(x[0] for x in form) for form in (w, spoken)})]
+    return out
+
+
+def rest_words(name: str) -> list[str]:
+    """Words of an entry that abbreviations may stand for."""
+    return [x for x in [x for x in words(name) if x != "and"][1:] if len(x) > 3]
+
+
+def readings(text: str) -> list[list[str]]:
+    """Words without legal form: of the whole value, of what stands before a place, and in turned order."""
+    text = canonical(text)[0]
+    out = [text]
+    for mark in (" - ", " / ", "(", ","):
+        if mark in text:
+            before, _, after = text.rpartition(mark)
+            out += [before] + ([after + " " + before] if mark == "," else [])
+    seen: list[list[str]] = []
+    for t in out:
+        w = [x for x in words(t) if x != "and"]
+        while w and w[-1] in LEGAL:
+            w.pop()
+        if w and w not in seen:
+            seen.append(w)
+    return seen
+
+
+def writing(word: str, v: str) -> tuple[int, int, str] | None:
+    """How well ``word`` may stand for the list's word ``v`` (smaller is better), None if it can't: the word itself, its
+    beginning, letters of it in order, or another ending."""
+    if word == v:
+        return -1, 0, v
+    if not word or v[0] != word[0]:
+        return None
+    if 1 < len(word) < len(v) and subsequence(word, v):
+        return (0 if v.startswith(word) else 1), len(v) - len(word), v
+    return (2, len(v) - len(word), v) if len(word) >= 6 and v[:5] == word[:5] and abs(len(v) - len(word)) <= 2 else None
+
+
+def keys_of(read: list[list[str]], write_out) -> tuple[list[str], list[str]]:
+    """(keys, initials) that a value may stand under."""
+    keys = {k for w in read for k in ("".join(w), "".join([w[0], *map(write_out, w[1:])]))}
+    return sorted(keys), sorted({w[0] for w in read if len(w) == 1 and len(w[0]) <= 5})
+
+
+Best = tuple[int, int, int, int]  # distance, kind, smallest and largest entry
+
+
+def nearest(found: list[Best]) -> Best | None:
+    """The best of several, with all entries that are as good."""
+    if not found:
+        return None
+    d, kind = min(found)[:2]
+    same = [f for f in found if f[:2] == (d, kind)]
+    return d, kind, min(f[2] for f in same), max(f[3] for f in same)
+
+
+class Tree:
+    """The BK-tree over forms (key, kind, lo, hi); lo and hi differ where entries share a form."""
+
+    def __init__(self, rows: list[tuple[str, int, int, int]]) -> None:
+        self.tree, self.at, self.initials = BKTree(), {}, {}
+        for key, kind, lo, hi in rows:
+            if kind == INITIALS:
+                self.initials[key] = (0, INITIALS, lo, hi)
+            else:
+                self.at[key] = (kind, lo, hi)
                 self.tree.add(key)
-        self.written: dict[str, str] = {}
-
-    def write_out(self, word: str) -> str:
-        """The word of the list that an abbreviation stands for; else the word itself."""
-        if word not in self.written:
-            fit = [v for v in self.vocabulary if v[0] == word[0] and v != word and len(word) < len(v) and subsequence(word, v)] if word not in self.vocabulary and len(word) > 1 else []
-            stem = [v for v in fit if v.startswith(word)]
-            if not fit and len(word) >= 6:
-                fit = [v for v in self.vocabulary if v[:5] == word[:5] and abs(len(v) - len(word)) <= 2]
-            fit = stem or fit
-            # the tightest reading: the abbreviation that covers most of the word
-            self.written[word] = min(fit, key=lambda v: (len(v) - len(word), v)) if fit else word
-        return self.written[word]
-
-    def readings(self, text: str) -> list[list[str]]:
-        """Words without legal form: of the whole value, of what stands before a place, and in turned order."""
-        text = canonical(text)[0]
-        out = [text]
-        for mark in (" - ", " / ", "(", ","):
-            if mark in text:
-                before, _, after = text.rpartition(mark)
-                out += [before] + ([after + " " + before] if mark == "," else [])
-        seen: list[list[str]] = []
-        for t in out:
-            w = [x for x in words(t) if x != "and"]
-            while w and w[-1] in LEGAL:
-                w.pop()
-            if w and w not in seen:
-                seen.append(w)
-        return seen
-
-    def find(self, text: str, threshold: int = THRESHOLD) -> tuple[int, int]:
-        """(distance, firm_id) of the nearest entry, (threshold + 1, -1) if there is none or a tie."""
-        best: dict[int, int] = {}
-        tried: set[str] = set()
-        for w in self.readings(text):
-            if len(w) == 1 and w[0] in self.initials and len(w[0]) <= 5:
-                return 0, self.initials[w[0]]
-            for key in ("".join(w), "".join([w[0], *map(self.write_out, w[1:])])):
-                if key in self.owner:  # nothing is nearer than the key itself
-                    return 0, self.owner[key]
-                tried.add(key)
-        for key in tried:
-            for d, at in self.tree.within(key, min(threshold, len(key) // 5)):
-                f = self.owner[at]
-                best[f] = min(best.get(f, 99), d)
-        if not best:
-            return threshold + 1, -1
-        d = min(best.values())
-        won = [f for f, x in best.items() if x == d]
-        return (d, won[0]) if len(won) == 1 else (d, -1)
+
+    def exact(self, keys: list[str], initials: list[str]) -> Best | None:
+        return nearest([(0, *self.at[k]) for k in keys if k in self.at] + [self.initials[k] for k in initials if k in self.initials])
+
+    def near(self, key: str, threshold: int) -> Best | None:
+        return nearest([(d, *self.at[at]) for d, at in self.tree.within(key, min(threshold, len(key) // 5))])
+
+
+def entry_forms(entries: DataFrame, id_column: str, name_column: str) -> DataFrame:
+    """key, kind, lo, hi over the whole list: full names, initials, and beginnings that are no full name. lo and hi
+    differ where several entries share a form: whatever is nearest to it is a tie."""
+    udf = F.udf(lambda n: forms(n), "array<struct<key: string, kind: int>>")
+    rows = entries.filter(F.col(name_column).isNotNull() & F.col(id_column).isNotNull()).select(F.col(id_column).cast("bigint").alias("id"), F.inline(udf(F.col(name_column))))
+    owned = rows.groupBy("key", "kind").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    full = owned.filter(f"kind = {FULL}").select("key")
+    return owned.filter(f"kind <> {BEGINNING}").unionAll(owned.filter(f"kind = {BEGINNING}").join(full, "key", "left_anti"))
+
+
+def vocabulary(entries: DataFrame, name_column: str) -> DataFrame:
+    udf = F.udf(rest_words, "array<string>")
+    return entries.filter(F.col(name_column).isNotNull()).select(F.explode(udf(F.col(name_column))).alias("v")).distinct()
 
 
 def find_entry(df: DataFrame, column: str, entries: DataFrame, id_column: str, name_column: str, out: str, threshold: int = THRESHOLD) -> DataFrame:
-    """Add ``out``: the id of the entry that ``column`` means, -1 if none. No shuffle: each task reads
-    its rows against the broadcast shards and keeps what it has already read of a value."""
-    spark = df.sparkSession
-    n = entries.count()
-    shards = []
-    for k in range(max(1, -(-n // MAX_ENTRIES))):
-        part = entries if n <= MAX_ENTRIES else entries.filter(F.pmod(F.xxhash64(id_column), F.lit(-(-n // MAX_ENTRIES))) == k)
-        rows = part.select(id_column, name_column).filter(F.col(name_column).isNotNull()).orderBy(id_column).collect()
-        shards.append(spark.sparkContext.broadcast([(int(a), b) for a, b in rows]))
-
-    def lookup(held):
-        def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-            ref, cache = Reference(held.value), {}
-            for values in batches:
-                if len(cache) > CACHE:
-                    cache.clear()
-                for v in set(values.dropna()) - cache.keys():
-                    cache[v] = ref.find(v, threshold)
-                out = [(None, None) if v is None else cache[v] for v in values]
-                yield pd.DataFrame(out, columns=["d", "id"]).astype({"d": "Int32", "id": "Int64"})
-
-        return run
-
-    found = []
-    for k, held in enumerate(shards):
-        udf = F.pandas_udf(lookup(held), "struct<d: int, id: bigint>")
-        df = df.withColumn(f"__e{k}", udf(F.col(column)))
-        found.append(F.col(f"__e{k}"))
-    if len(found) == 1:
-        return df.withColumn(out, found[0]["id"]).drop("__e0")
-    least = reduce(F.least, [f["d"] for f in found])
-    ids = F.array_distinct(F.transform(F.filter(F.array(*found), lambda x: (x["d"] == least) & (x["d"] <= threshold)), lambda x: x["id"]))
-    return df.withColumn(out, F.when(F.size(ids) == 1, ids[0]).otherwise(F.lit(-1).cast("bigint"))).drop(*[f"__e{k}" for k in range(len(found))])
+    """Add ``out``: the id of the entry that ``column`` means, -1 if none, null for null. With a broadcast list there is no
+    shuffle: each task keeps what it has already read of a value."""
+    table, known = entry_forms(entries, id_column, name_column), vocabulary(entries, name_column)
+    if entries.count() > MAX_ENTRIES:
+        return _find_in_shards(df, column, written(table, "forms"), known, out, threshold)
+    sc = df.sparkSession.sparkContext
+    held = sc.broadcast(([tuple(r) for r in table.orderBy("key", "kind").collect()], sorted(r.v for r in known.collect())))  # at most MAX_ENTRIES names
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tree, by_letter = Tree(held.value[0]), {}
+        for v in held.value[1]:
+            by_letter.setdefault(v[0], []).append(v)
+
+        @lru_cache(CACHE)
+        def write_out(word: str) -> str:
+            return min((w for v in by_letter.get(word[:1], ()) if (w := writing(word, v))), default=(0, 0, word))[2]
+
+        near = lru_cache(CACHE)(lambda key: tree.near(key, threshold))
+
+        @lru_cache(CACHE)
+        def find(text: str) -> int:
+            keys, initials = keys_of(readings(text), write_out)
+            best = tree.exact(keys, initials) or nearest([b for k in keys if (b := near(k))])
+            return best[2] if best and best[2] == best[3] else -1
+
+        for values in batches:
+            yield pd.Series([None if v is None else find(v) for v in values], dtype="Int64")
+
+    return df.withColumn(out, F.pandas_udf(run, "bigint")(F.col(column)))
+
+
+def _blocks(a: DataFrame, b: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the numbers of a block (i, j) in which each row of one meets each of the other with the same
+    ``keys``: every block holds about ``MAX_ENTRIES`` rows a side, so no task holds a side."""
+    n, m = [max(1, -(-x.count() // MAX_ENTRIES)) for x in (a, b)]
+    own = lambda x, k: F.pmod(F.xxhash64(*[c for c in x.columns if c not in keys]), F.lit(k)).cast("int")
+    all_of = lambda k: F.explode(F.array(*[F.lit(i) for i in range(k)])) if k <= 1000 else F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    return a.withColumn("i", own(a, n)).withColumn("j", all_of(m)), b.withColumn("j", own(b, m)).withColumn("i", all_of(n))
+
+
+def _find_in_shards(df: DataFrame, column: str, table: DataFrame, known: DataFrame, out: str, threshold: int) -> DataFrame:
+    split = F.udf(readings, "array<array<string>>")
+    values = written(df.select(F.col(column).alias("value")).filter("value is not null").distinct().withColumn("read", split("value")), "values")
+    # abbreviations: every word of the values against the list's words with its first letter
+    used = values.select("value", F.explode(F.array_distinct(F.flatten(F.transform("read", lambda w: F.slice(w, 2, 1 << 30))))).alias("word")).filter("word <> ''")
+    letter: Column = F.substr("word", F.lit(1), F.lit(1))
+    left, right = _blocks(used.select("word").distinct().withColumn("letter", letter), known.withColumn("letter", F.substr("v", F.lit(1), F.lit(1))), ["letter"])
+
+    def write(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        rows = [(word, *w) for word in a["word"] for v in b["v"] if (w := writing(word, v))]
+        return pd.DataFrame(rows, columns=["word", "kind", "more", "v"])
+
+    by = ["letter", "i", "j"]
+    met = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(write, "word string, kind int, more int, v string")
+    best = met.groupBy("word").agg(F.min(F.struct("kind", "more", "v")).alias("w")).select("word", "w.v")
+    spelled = used.join(best, "word").groupBy("value").agg(F.map_from_entries(F.collect_list(F.struct("word", "v"))).alias("spelled"))
+    make = F.udf(lambda read, m: keys_of(read, lambda w: (m or {}).get(w, w)), "struct<keys: array<string>, initials: array<string>>")
+    keyed = written(values.join(spelled, "value", "left").withColumn("k", make("read", "spelled")).select("value", "k.keys", "k.initials"), "keys")
+    plain, short = keyed.select("value", F.explode("keys").alias("key")), keyed.select("value", F.explode("initials").alias("key"))
+    exact = plain.join(table.filter(f"kind <> {INITIALS}"), "key").unionAll(short.join(table.filter(f"kind = {INITIALS}"), "key")).select("value", F.lit(0).alias("d"), "kind", "lo", "hi")
+    exact = written(exact, "exact")
+    open_ = plain.join(exact.select("value"), "value", "left_anti")
+    left, right = _blocks(open_.select("key").distinct(), table.filter(f"kind <> {INITIALS}").withColumnRenamed("key", "at"), [])
+
+    def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        tree = Tree(list(b[["at", "kind", "lo", "hi"]].sort_values("at").itertuples(index=False, name=None)))
+        return pd.DataFrame([(k, *best) for k in a["key"] if (best := tree.near(k, threshold))], columns=["key", "d", "kind", "lo", "hi"])
+
+    near = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(search, "key string, d int, kind int, lo bigint, hi bigint")
+    found = exact.unionAll(open_.join(near, "key").select("value", "d", "kind", "lo", "hi"))
+    won = found.groupBy("value", "d", "kind").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).groupBy("value").agg(F.min_by(F.struct("lo", "hi"), F.struct("d", "kind")).alias("w"))
+    won = won.select(F.col("value").alias("__value"), F.when(F.col("w.lo") == F.col("w.hi"), F.col("w.lo")).otherwise(-1).alias("__id"))
+    joined = df.join(won, F.col(column) == F.col("__value"), "left")
+    return joined.withColumn(out, F.when(F.col(column).isNotNull(), F.coalesce("__id", F.lit(-1).cast("bigint")))).drop("__value", "__id")
 
 
 def firms_found(contacts: DataFrame, firm_ref: DataFrame) -> DataFrame:
     """contact_id, firm_id of every contacts row whose firm is given but equals no entry."""
-    listed = firm_ref.select(F.col("firm_name").alias("firm")).distinct()
+    listed = firm_ref.select(F.col("firm_name").alias("firm")).distinct()  # Spark broadcasts it while it is small
     rows = contacts.select("contact_id", "firm").filter("firm is not null and trim(firm) not in ('', 'Unknown')")
-    if firm_ref.count() <= MAX_ENTRIES:
-        listed = F.broadcast(listed)
     rows = rows.join(listed, "firm", "left_anti")
     return find_entry(rows, "firm", firm_ref, "firm_id", "firm_name", "firm_id").select("contact_id", "firm_id")

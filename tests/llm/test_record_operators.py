@@ -203,7 +203,7 @@ REFERENCE = [(1, "Alder Wealth Partners"), (2, "Alder Insurance Brokers"), (3, "
 def test_firms(spark):
     cases = {
         "Alder Wealth Partners": None, None: None, "": None, "Unknown": None, " ": None, "ALDER WLTH PRTNRS (S) PTE LTD": 1, "Aldr Wealth Partners": 1, "Wealth Partners, Alder": 1, "Alder Ins. Brkrs": 2, "Brackmoor": 3, "B.A.M.": 3, "BAM Pte Ltd": 3,
-        "Brackmoor Asset Mgmt - Westmead": 3, "Alder": -1, "Alder Pohek Logistics": -1, "own practice": -1, "?": -1, "Zenith Life and Pensions": 4, "ZLAP": 4, "BrackmoorAssetManagement": 3, "x" * 100_000: -1,
+        "Brackmoor Asset Mgmt - Westmead": 3, "Alder": -1, "Alder Pohek Logistics": -1, "Alder Ltd": -1, "own practice": -1, "?": -1, "Zenith Life and Pensions": 4, "ZLAP": 4, "BrackmoorAssetManagement": 3, "x" * 100_000: -1,
     }
     df = contacts(spark, [(i, "n", None, f) for i, f in enumerate(cases)] * 2)
     ref = spark.createDataFrame(REFERENCE, "firm_id bigint, firm_name string").selectExpr("*", "1 as contact_id")
@@ -214,11 +214,20 @@ def test_firms(spark):
 
 
 def test_firms_in_shards_are_the_same(spark, monkeypatch):
-    df = contacts(spark, [(i, "n", None, f) for i, f in enumerate(["Brackmore Asset Management", "Alder Wlth Ptnrs", "nothing", "Zenith Lif & Pensions"])])
-    ref = spark.createDataFrame(REFERENCE, "firm_id bigint, firm_name string")
-    one = sorted(map(tuple, p06.firms_found(df, ref).collect()))
-    monkeypatch.setattr(p06, "MAX_ENTRIES", 2)
-    assert sorted(map(tuple, p06.firms_found(df, ref).collect())) == one == [(0, 3), (1, 1), (2, -1), (3, 4)]
+    """Forms and vocabulary come from the whole list, whatever the shards; entries share beginnings, names and initials."""
+    entries = [*REFERENCE, (5, "Alder Capital"), (6, "Aldea Life"), (7, "Acme"), (8, "Acme Wealth"), (9, "Twin Firm"), (10, "Twin Firm"), (0, "Zero Partners")]
+    cases = {
+        "Brackmore Asset Management": 3, "Alder Wlth Ptnrs": 1, "nothing": -1, "Zenith Lif & Pensions": 4, "Alder Ltd": -1, "Aldea Ltd": 6, "ACME Pte Ltd": 7, "Acme Wlth": 8, "twin firm": -1, "TWIN FIRM LLP": -1, "Zero Prtnrs": 0, "Acme, Wealth": -1,
+        "BAM": 3, "ZLP": 4, "": -1, "Aldr Wealth Partners": 1, "x" * 3000: -1,
+    }
+    df = contacts(spark, [(i, "n", None, f) for i, f in enumerate([*cases, None])]).select("contact_id", "firm")
+    ref = spark.createDataFrame(entries, "firm_id bigint, firm_name string")
+    want = [*enumerate(cases.values()), (len(cases), None)]
+    for n in (1 << 30, 3):
+        monkeypatch.setattr(p06, "MAX_ENTRIES", n)
+        got = p06.find_entry(df, "firm", ref, "firm_id", "firm_name", "found").select("contact_id", "found").collect()
+        assert sorted(map(tuple, got)) == want
+    assert {r.found for r in p06.find_entry(df, "firm", ref, "firm_id", "firm_name", "found").limit(0).collect()} == set()
 
 
 def test_survivors(spark):
