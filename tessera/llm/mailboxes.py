@@ -83,7 +83,7 @@ PLACE_BITS, NODE_BITS, REST_BITS = 14, 26, 10
 EXACT, SAME_DOMAIN, ANY_SLIP = 0, REST_BITS, 2 * REST_BITS  # bits left off: how far a prefix is widened
 
 
-def _with_kept(df: DataFrame, part: str, blocks: int, tolerant: bool) -> DataFrame:
+def with_kept(df: DataFrame, part: str, blocks: int, tolerant: bool) -> DataFrame:
     """Each row once for every (class, j): what is left of ``part`` without its j-th block, for the length
     class that it (tolerant: also one a letter longer or shorter) is of; columns <part>_j and <part>_kept.
 
@@ -109,8 +109,8 @@ def with_keys(df: DataFrame, tolerant: bool, widened: int = EXACT) -> DataFrame:
     ``widened`` bits: a node. Two addresses with at most one slip in each part share a node at ANY_SLIP when
     one side is taken tolerant; with a slip in the local part only also at SAME_DOMAIN."""
     out = df.withColumn("__l", local_of(F.col("box"))).withColumn("__d", domain_of(F.col("box")))
-    out = _with_kept(out, "__d", DOMAIN_BLOCKS, tolerant and widened == ANY_SLIP)
-    out = _with_kept(out, "__l", LOCAL_BLOCKS, tolerant)
+    out = with_kept(out, "__d", DOMAIN_BLOCKS, tolerant and widened == ANY_SLIP)
+    out = with_kept(out, "__l", LOCAL_BLOCKS, tolerant)
     rest = F.shiftleft(_bits(REST_BITS, F.lit("d"), F.col("__d")), REST_BITS).bitwiseOR(_bits(REST_BITS, F.lit("l"), F.col("__l")))
     tree = F.col("__d_j").cast("bigint") * LOCAL_BLOCKS + F.col("__l_j")
     place = F.shiftleft(tree, PLACE_BITS).bitwiseOR(_bits(PLACE_BITS, F.col("__d_kept")))

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import discard, written
-from .mailboxes import ANY_SLIP, DESKS, domain_of, local_of, mailbox, same_but_slip, with_keys, within_one_edit
+from .mailboxes import DESKS, LOCAL_BLOCKS, domain_of, local_of, mailbox, same_but_slip, with_kept, within_one_edit
 from .p01_canonical_text import PLAIN, canonical
 from .p02_formatting_duplicates import complete_address
 from .p06_reference_mapping import find_entry
@@ -77,14 +77,28 @@ def site_of(url: Column) -> Column:
     return F.nullif(F.regexp_replace(host, r"^(www|sg|m|en|web)\.(?=[^.]+\.)", ""), F.lit(""))
 
 
+def near_domains(domains: DataFrame) -> DataFrame:
+    """domain, other of (domain, n): the domain itself and those one slip away that stand in more addresses, found by
+    symmetric deletes over the different domains."""
+    keyed = domains.select("domain", "n", F.explode(deletes(F.col("domain"))).alias("k")).select("domain", "n", F.xxhash64("k").alias("k"))
+    other = keyed.select(F.col("domain").alias("other"), F.col("n").alias("m"), "k")
+    near = keyed.join(other, "k").filter("domain <> other and m >= n").filter(within_one_edit(F.col("domain"), F.col("other")))
+    return near.select("domain", "other").distinct().unionAll(domains.select("domain", F.col("domain").alias("other")))
+
+
 def mailbox_roots(boxes: DataFrame) -> DataFrame:
-    """box, root of (box, n): the most frequent address that is the same mailbox but for a slip."""
-    wide = with_keys(boxes.select("box", "n"), True, ANY_SLIP)
-    index = with_keys(boxes.select("box", "n"), False, ANY_SLIP).select(F.col("box").alias("other"), F.col("n").alias("m"), "key")
+    """box, root of (box, n): the most frequent address that is the same mailbox but for a slip. An address looks under
+    its own domain and under more frequent ones that are a slip away, by what its local part keeps without a block."""
+    parts = boxes.select("box", "n", domain_of(F.col("box")).alias("domain"), local_of(F.col("box")).alias("local"))
+    domains = written(parts.groupBy("domain").agg(F.sum("n").alias("n")), "domains")
+    mine = parts.join(near_domains(domains).filter("domain <> other"), "domain").select("box", "n", F.col("other").alias("domain"), "local").unionAll(parts.select("box", "n", "domain", "local"))
+    key = F.xxhash64("domain", "local_j", "local_kept").alias("key")
+    wide = with_kept(mine, "local", LOCAL_BLOCKS, True).select("box", "n", key)
+    index = with_kept(parts, "local", LOCAL_BLOCKS, False).select(F.col("box").alias("other"), F.col("n").alias("m"), key)
     near = wide.join(index, "key").filter((F.col("box") != F.col("other")) & ((F.col("m") > F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("other") < F.col("box")))))
     near = near.filter(same_but_slip(F.col("box"), F.col("other")))
     best = near.groupBy("box").agg(F.max(F.struct("m", F.col("other").alias("root"))).alias("b")).select("box", "b.root")
-    return boxes.select("box").join(best, "box", "left").select("box", F.coalesce("root", "box").alias("root"))
+    return boxes.join(best, "box", "left").withColumn("root", F.coalesce("root", "box"))
 
 
 def similar(a: str, b: str) -> float:
@@ -218,9 +232,9 @@ def align(a: list[str], b: list[str]) -> tuple[float, int, str, str]:
     return (total, whole, words[1], words[0]) if turned else (total, whole, words[0], words[1])
 
 
-def name_id(space: Column | None = None) -> Column:
-    """128 bits for a firm and the words of a name (and a table)."""
-    return F.unhex(F.md5(F.concat_ws("\x01", F.lit("name") if space is None else space, "firm", F.array_join(F.array_sort("toks"), "\x02"))))
+def name_id() -> Column:
+    """128 bits for a firm and the words of a name."""
+    return F.unhex(F.md5(F.concat_ws("\x01", "firm", F.array_join(F.array_sort("toks"), "\x02"))))
 
 
 def deletes(t: Column) -> Column:
@@ -233,9 +247,10 @@ def akin_words(words: DataFrame) -> DataFrame:
     """firm, word, akin: the words of a firm that are the same, one edit or swap away (symmetric-delete index over
     the different words) or the beginning of one another."""
     w = words.select("firm", "word")
-    keyed = w.filter("length(word) >= 4").select("firm", "word", F.explode(deletes(F.col("word"))).alias("d"))
-    near = keyed.join(keyed.withColumnRenamed("word", "akin"), ["firm", "d"]).filter("word <> akin").select("firm", "word", "akin")
-    near = near.filter(within_one_edit(F.col("word"), F.col("akin"))).distinct()
+    keyed = w.filter("length(word) >= 4").select("firm", "word", F.explode(deletes(F.col("word"))).alias("d")).select("firm", "word", F.xxhash64("firm", "d").alias("d"))
+    other = keyed.select(F.col("firm").alias("f"), F.col("word").alias("akin"), "d")
+    near = keyed.join(other, "d").filter("word < akin and firm = f").filter(within_one_edit(F.col("word"), F.col("akin"))).select("firm", "word", "akin").distinct()
+    near = near.unionAll(near.select("firm", F.col("akin").alias("word"), F.col("word").alias("akin")))
     begins = w.filter("length(word) >= 4").select("firm", F.col("word").alias("long"), F.explode(F.transform(F.sequence(F.lit(3), F.length("word") - 1), lambda n: F.substr("word", F.lit(1), n))).alias("word"))
     begins = begins.join(w.filter("length(word) >= 3"), ["firm", "word"]).select("firm", "word", F.col("long").alias("akin"))
     begins = begins.unionAll(begins.select("firm", F.col("akin").alias("word"), F.col("word").alias("akin")))
@@ -243,8 +258,9 @@ def akin_words(words: DataFrame) -> DataFrame:
 
 
 def name_pairs(names: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(akin words of a firm, pairs). Pairs are a, b, strong, a_word, b_word of names (name, firm, toks) of one firm that align; words are those that an
-    initial of the name stands for, strong means two words or more in common that are no initials.
+    """(akin words of a firm, pairs). Pairs are a, b, strong, a_word, b_word, a_side, b_side, a_whole, b_whole of names
+    (name, firm, toks, side) of one firm that align; words are those that an initial of the name stands for, strong means two
+    words or more in common that are no initials, whole is the number of words that are none.
 
     All words of the shorter of two aligned names have their match. So a name without initials only looks for its rarest
     word in the firm and the words akin to it, never for a common given name; one with initials looks for each of
@@ -260,49 +276,47 @@ def name_pairs(names: DataFrame) -> tuple[DataFrame, DataFrame]:
     rarest = rare.filter("initial is null").groupBy("name", "firm").agg(F.min_by("word", F.struct("df", "word")).alias("word"))
     asks = rarest.select("name", "firm", "word", F.lit("").alias("beside")).unionAll(long.filter("initial is not null").select("name", "firm", "word", F.col("initial").alias("beside")))
     asks = asks.join(akin, ["firm", "word"]).select(F.col("name").alias("a"), "firm", "akin", "beside", "word")
-    asks = asks.join(names.select(F.col("name").alias("a"), F.col("toks").alias("at")), "a")
+    asks = asks.join(names.select(F.col("name").alias("a"), F.col("toks").alias("at"), F.col("side").alias("a_side")), "a")
     firsts = F.array_distinct(F.transform(F.filter("toks", lambda u: u != F.col("akin")), lambda u: F.substr(u, F.lit(1), F.lit(1))))
-    held = named.select(F.col("name").alias("b"), "firm", F.col("toks").alias("bt"), "toks", "initial", F.explode("whole").alias("akin"))
+    held = named.select(F.col("name").alias("b"), "firm", F.col("toks").alias("bt"), F.col("side").alias("b_side"), "toks", F.explode("whole").alias("akin"))
     held = held.join(rarest.select(F.col("name").alias("b"), F.col("word").alias("rarest")), "b", "left")
-    held = held.select("b", "firm", "bt", "akin", "rarest", F.explode(F.array_append(firsts, F.lit(""))).alias("beside"))
+    held = held.select("b", "firm", "bt", "b_side", "akin", "rarest", F.explode(F.array_append(firsts, F.lit(""))).alias("beside"))
     met = asks.join(held, ["firm", "akin", "beside"]).filter("a <> b")
     # where both names ask for these words the pair is kept once
-    met = met.filter("a < b or beside <> '' or rarest is null or rarest <> akin").select("a", "b", "at", "bt")
+    met = met.filter("a < b or beside <> '' or rarest is null or rarest <> akin").select("a", "b", "at", "bt", "a_side", "b_side")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for a, b, x, y in zip(pdf["a"], pdf["b"], pdf["at"], pdf["bt"], strict=True):
+            for a, b, x, y, s, t in zip(pdf["a"], pdf["b"], pdf["at"], pdf["bt"], pdf["a_side"], pdf["b_side"], strict=True):
+                if a > b:
+                    a, b, x, y, s, t = b, a, y, x, t, s
                 _, whole, aw, bw = align(list(x), list(y))
                 if whole:
-                    out.append((a, b, whole >= 2, aw, bw) if a < b else (b, a, whole >= 2, bw, aw))
-            yield pd.DataFrame(out, columns=["a", "b", "strong", "a_word", "b_word"])
+                    out.append((a, b, whole >= 2, aw, bw, s, t, sum(len(w) > 1 for w in x), sum(len(w) > 1 for w in y)))
+            yield pd.DataFrame(out, columns=["a", "b", "strong", "a_word", "b_word", "a_side", "b_side", "a_whole", "b_whole"])
 
-    found = met.mapInPandas(run, "a binary, b binary, strong boolean, a_word string, b_word string")
+    found = met.mapInPandas(run, "a binary, b binary, strong boolean, a_word string, b_word string, a_side int, b_side int, a_whole int, b_whole int")
     return akin, written(found.dropDuplicates(["a", "b"]), "pairs")
 
 
-def doubtful(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(names whose initials meet a word, those of them whose initials meet different words) in directed weak pairs
-    (a, word)."""
-    meets = pairs.filter("word <> ''").groupBy("a").agg(F.min("word").alias("w0"), F.max("word").alias("w1"))
-    return meets.select("a"), meets.filter(F.levenshtein("w0", "w1") > 2).select("a")
-
-
-def both_ways(pairs: DataFrame) -> DataFrame:
-    """Directed weak pairs a, b, word."""
-    weak = pairs.filter("not strong")
-    return weak.select("a", "b", F.col("a_word").alias("word")).unionAll(weak.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("b_word").alias("word")))
+def meets(weak: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, unclear of names whose initials meet a word in directed weak pairs (keys, word): do they meet different words?"""
+    met = weak.filter("word <> ''").groupBy(*keys).agg(F.min("word").alias("w0"), F.max("word").alias("w1"))
+    return met.select(*keys, (F.levenshtein("w0", "w1") > 2).alias("unclear"))
 
 
 def links(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(a, b of linked names, names (a) that stand for several). A name with an initial only counts where all full
-    names that it could stand for agree."""
-    weak = both_ways(pairs)
-    asked, unclear = doubtful(weak)
-    by_word = weak.filter("word <> ''").join(unclear, "a", "left_anti").select("a", "b")
-    plain = weak.filter("word = '' and a < b").join(asked, "a", "left_anti").join(asked.select(F.col("a").alias("b")), "b", "left_anti")
-    return pairs.filter("strong").select("a", "b").unionAll(by_word).unionAll(plain.select("a", "b")), unclear
+    """(space, a, b of linked names, names (space, a) that could stand for several persons) of pairs with their space. A
+    name with an initial only counts where all full names that it could stand for agree."""
+    weak = pairs.filter("not strong")
+    weak = weak.select("space", "a", "b", F.col("a_word").alias("word"), F.col("a_whole").alias("whole")).unionAll(weak.select("space", F.col("b").alias("a"), F.col("a").alias("b"), F.col("b_word").alias("word"), F.col("b_whole").alias("whole")))
+    met = written(meets(weak, ["space", "a"]), "meets")
+    weak = weak.join(met, ["space", "a"], "left").join(met.select("space", F.col("a").alias("b"), F.col("unclear").alias("b_unclear")), ["space", "b"], "left")
+    by_word = F.col("word") != ""
+    kept = weak.filter((by_word & ~F.col("unclear")) | (~by_word & F.col("unclear").isNull() & F.col("b_unclear").isNull()))
+    few = weak.filter("whole < 2 and unclear").select("space", "a").distinct()
+    return pairs.filter("strong").select("space", "a", "b").unionAll(kept.select("space", "a", "b")), few
 
 
 def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
@@ -342,17 +356,16 @@ class People:
     def __init__(self, contacts: DataFrame, hits: DataFrame, firm_ref: DataFrame, short_names: DataFrame) -> None:
         c = contacts.select("contact_id", "name", "firm", F.when(complete_address(F.col("email")), mailbox(F.col("email"))).alias("box"))
         c = with_names(c, "name", short_names)
-        listed = firm_ref.select(F.col("firm_name").alias("__f"), F.col("firm_id").alias("__id"))
-        c = find_entry(c, "firm", firm_ref, "firm_id", "firm_name", "fid").join(F.broadcast(listed.dropDuplicates(["__f"])), F.col("firm") == F.col("__f"), "left")
+        c = find_entry(c, "firm", firm_ref, "firm_id", "firm_name", "fid")
         other = F.regexp_replace(F.regexp_replace(F.lower("firm"), r"\b(pte|ltd|llp|limited|inc)\b|\([a-z]\)", ""), r"[^\p{L}\p{N}]", "")
-        typed = F.when(F.col("__id").isNotNull(), F.concat(F.lit("f"), F.col("__id"))).when(F.col("fid") >= 0, F.concat(F.lit("f"), F.col("fid"))).when(~other.isin("", "unknown"), F.concat(F.lit("u"), other))
+        typed = F.when(F.col("fid") >= 0, F.concat(F.lit("f"), F.col("fid"))).when(~other.isin("", "unknown"), F.concat(F.lit("u"), other))
         c = written(c.select("contact_id", "spelling", "toks", "box", typed.alias("typed")), "contacts")
         h = hits.select("hit_id", "nearby_name", mailbox(F.col("email")).alias("box"), F.coalesce("is_role", F.lit(False)).alias("role"), site_of(F.col("source_url")).alias("site"))
         h = written(with_names(h, "nearby_name", short_names).drop("nearby_name"), "hits")
 
         counts = c.select("box", F.lit(False).alias("role")).unionAll(h.select("box", "role")).filter("box is not null")
         boxes = written(counts.groupBy("box").agg(F.count("*").alias("n"), F.bool_or("role").alias("role")), "boxes")
-        roots = mailbox_roots(boxes).join(boxes.select("box", "role"), "box")
+        roots = mailbox_roots(boxes)
         desk = roots.groupBy("root").agg(F.bool_or("role").alias("role")).withColumn("desk", F.col("role") | local_of(F.col("root")).isin(*DESKS)).select("root", "desk")
         roots = written(roots.select("box", "root").join(desk, "root"), "roots")
 
@@ -373,35 +386,31 @@ class People:
 
     @staticmethod
     def _rows(df: DataFrame, id_column: str, space: str) -> DataFrame:
-        """Rows with their name (null if it cannot be told apart), and the node of the graph they stand at: the
+        """Rows with their name (null if it has none that can be told apart), and the node of the graph they stand at: the
         mailbox, else the name, else the row itself."""
         rows = df.select(id_column, "spelling", "toks", "firm", "root").withColumn("space", F.lit(space))
         named = F.col("firm").isNotNull() & (F.size("toks") >= 2)
-        rows = rows.withColumn("name", F.when(named & F.exists("toks", lambda t: F.length(t) > 1), name_id()))
-        box = F.unhex(F.md5(F.concat_ws("\x01", F.lit("box"), "space", "root")))
-        row = F.unhex(F.md5(F.concat_ws("\x01", F.lit("row"), "space", F.col(id_column).cast("string"))))
-        node = F.when(F.col("root").isNotNull(), box).when(named, name_id(F.col("space"))).otherwise(row)
-        return written(rows.withColumn("node", node).withColumn("name_node", F.when(F.col("name").isNotNull(), name_id(F.col("space")))), f"rows-{space}")
+        rows = rows.withColumn("any", F.when(named, name_id())).withColumn("name", F.when(F.exists("toks", lambda t: F.length(t) > 1), F.col("any")))
+        node = F.when(F.col("root").isNotNull(), node_of("box", F.col("root"))).when(named, node_of("name", F.col("any"))).otherwise(node_of("row", F.col(id_column).cast("string")))
+        return written(rows.withColumn("node", node).drop("any"), f"rows-{space}")
 
     def _resolve(self) -> None:
         """Persons: connected nodes. Copies of a name or a mailbox are one node, however many rows they have."""
-        both = [self.contacts.filter("name is not null"), self.hits.filter("name is not null")]
-        flags = [r.select("name", "firm", F.array_sort("toks").alias("toks"), F.lit(r is both[0]).alias("in_c")) for r in both]
-        names = flags[0].unionAll(flags[1]).groupBy("name").agg(F.first("firm").alias("firm"), F.first("toks").alias("toks"), F.bool_or("in_c").alias("in_c"), F.bool_or(~F.col("in_c")).alias("in_h"))
-        self.names = written(names, "names")
+        spaces = {"c": 1, "h": 2}
+        rows = [r.filter("name is not null") for r in (self.contacts, self.hits)]
+        sides = [r.select("name", "firm", F.array_sort("toks").alias("toks"), F.lit(s).alias("side")) for r, s in zip(rows, spaces.values(), strict=True)]
+        self.names = written(sides[0].unionAll(sides[1]).groupBy("name").agg(F.first("firm").alias("firm"), F.first("toks").alias("toks"), F.bit_or("side").alias("side")), "names")
         self.akin, self.pairs = name_pairs(self.names)
-        self.contacts, self.hits = [self._persons(r, f"in_{s}") for r, s in ((self.contacts, "c"), (self.hits, "h"))]
-
-    def _persons(self, rows: DataFrame, flag: str) -> DataFrame:
-        mine = self.names.filter(flag).select("name")
-        pairs = self.pairs.join(mine.select(F.col("name").alias("a")), "a", "left_semi").join(mine.select(F.col("name").alias("b")), "b", "left_semi")
-        linked, unclear = links(pairs)
+        here = F.array_compact(F.array(*[F.when(F.col("a_side").bitwiseAND(k).bitwiseAND(F.col("b_side")) > 0, s) for s, k in spaces.items()]))
+        linked, unclear = links(self.pairs.withColumn("space", F.explode(here)))
+        edges = linked.select(node_of("name", F.col("a")).alias("a"), node_of("name", F.col("b")).alias("b"))
         # a name that could stand for several persons links nobody, nor do its copies
-        unclear = unclear.join(self.names.filter("size(filter(toks, t -> length(t) > 1)) < 2").select(F.col("name").alias("a")), "a", "left_semi").select(F.col("a").alias("name"))
-        at = written(rows.filter("name is not null").select("name", "name_node", F.when(F.col("root").isNotNull(), F.col("node")).alias("box")).distinct(), "at")
-        node = at.select("name", "name_node").distinct()
-        edges = linked.join(node.select(F.col("name").alias("a"), F.col("name_node").alias("x")), "a").join(node.select(F.col("name").alias("b"), F.col("name_node").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        boxes = at.filter("box is not null").join(unclear, "name", "left_anti").select(F.col("name_node").alias("a"), F.col("box").alias("b"))
-        persons = components(edges.unionAll(boxes))
-        out = rows.join(persons.withColumnRenamed("rec", "node"), "node", "left").withColumn("person", F.coalesce("person", "node"))
-        return written(out.drop("node", "name_node"), "people")
+        at = rows[0].select("space", "name", "root", "node").unionAll(rows[1].select("space", "name", "root", "node")).filter("root is not null").select("space", F.col("name").alias("a"), F.col("node").alias("b")).distinct()
+        boxes = at.join(unclear, ["space", "a"], "left_anti").select(node_of("name", F.col("a")).alias("a"), "b")
+        persons = components(edges.unionAll(boxes)).withColumnRenamed("rec", "node")
+        self.contacts, self.hits = [written(r.join(persons, "node", "left").withColumn("person", F.coalesce("person", "node")).drop("node"), "people") for r in (self.contacts, self.hits)]
+
+
+def node_of(kind: str, what: Column) -> Column:
+    """128 bits for a node of one table (column space)."""
+    return F.unhex(F.md5(F.concat_ws("\x01", F.lit(kind), "space", what if kind != "name" else F.hex(what))))

@@ -356,9 +356,9 @@ def test_name_pairs_equal_brute_force(spark):
     given, sur = ["mia", "ben", "benjamin", "anna", "robert", "m", "b", "r"], ["stone", "stoen", "reed", "reeds", "kivefirol", "kivefrol", "ng", "s", "k"]
     names = {tuple(sorted({*rng.sample(given, rng.randint(1, 2)), *rng.sample(sur, rng.randint(1, 2))})) for _ in range(70)}
     names = sorted(n for n in names if len(n) >= 2 and any(len(w) > 1 for w in n))
-    rows = [(f"{i:03d}".encode(), "f1" if i % 2 else "f2", list(n)) for i, n in enumerate(names)]
-    want = {(a, b) for a, fa, x in rows for b, fb, y in rows if a < b and fa == fb and people.align(x, y)[1]}
-    got = people.name_pairs(spark.createDataFrame(rows, "name binary, firm string, toks array<string>"))[1].collect()
+    rows = [(f"{i:03d}".encode(), "f1" if i % 2 else "f2", list(n), 3) for i, n in enumerate(names)]
+    want = {(a, b) for a, fa, x, _ in rows for b, fb, y, _ in rows if a < b and fa == fb and people.align(x, y)[1]}
+    got = people.name_pairs(spark.createDataFrame(rows, "name binary, firm string, toks array<string>, side int"))[1].collect()
     assert {(bytes(r.a), bytes(r.b)) for r in got} == want and len(got) == len(want) > 50
 
 
