@@ -138,6 +138,9 @@ def test_leakage_equals_brute_force(spark):
         ("All is well.", "sentence"), ('He said "yes".', "sentence"), ("很好。", "sentence"), ("All is well. 🙂", "sentence"), ("All is we", "open"), ("Fine. He said “no", "open"), ("Good. [mo", "open"), ("Good. Text [more]", "mark"), ("Good. Te>>", "mark"),
         ("Good. The (cont", "mark"), ("Good. Fo\n[connection", "mark"), ("Moved b&nb", "broken"), ("se�", "broken"), ("Time will tell…", "ellipsis"), ("Well.\nMany thanks,\nMR", "block"), ("Well.\n--\nBT\nadviser, Acme", "block"), ("Well.\n* one\n- two", "block"),
         ("Well.\nTags: a, b", "block"), ("Well.\nMore: https://a.test/x", "block"), ("Well. no rush", "close"), ("Gut. 👍", "sentence"), ("They said “maybe“, and so on.", "sentence"), ("See (a [b] c) \"d\" {e}.", "sentence"), ("Regards,\nMia\nBut it was late. And th", "open"),
+        ("Kind regards,\nTom\nR&D", "block"), ("Best,\nAna\nP&G", "block"), ("Good.\nTotal: x=5", "block"), ("It came from AT&T", "open"), ("Up by 5%a", "open"), ("Fine. if a <b", "open"), ("Note (see " + "x" * 400 + ". Then more.", "held"), ("He said <b>hello and left. Then he came back.", "held"),
+        ("He said <b>hello</b> and left.", "sentence"), ("One<br>two <img src='a'>.", "sentence"), ("<p>One.<p>Two.", "sentence"), ("See &amp; hear. And the &am", "broken"), ("x &#82", "broken"), ("caf=C3=A9 is closed. Th=C", "broken"), ('Go <a href="htt', "broken"), ("<i>a</i> and <b", "broken"), ("Good. \\u00e", "broken"),
+        ("Regards,\n" + "\n".join(["Mia"] * 9), "block"), ("<!-- note. All well.", "held"), ("Mail <mia@acme.test> today.", "sentence"),
     ],
 )
 def test_endings(text, kind):
@@ -157,6 +160,14 @@ def test_truncation(spark):
     assert p10.found(df.limit(0)).count() == 0
 
 
+def test_codes_and_open_signs_by_source(spark):
+    """A code at the end and a sign left open count by what the source does otherwise."""
+    rows = [(i, f"Text {i} has 5%20less and more.", "coded") for i in range(20)] + [(50, "It is 5%2", "coded"), (51, "It is one.\nShare: 5%2", "plain"), (52, "One (of two.", "plain")]
+    rows += [(100 + i, f"A smile :( in text {i}." if i % 3 == 0 else f"Text {i}.", "smiles") for i in range(30)] + [(200 + i, f"Plain {i}.", "plain") for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    assert {r.doc_id for r in p10.found(df).collect()} == {50, 52}
+
+
 def test_truncation_with_copies(spark):
     """Copies of one cut text are neither a limit nor a closing; a source may have two limits."""
     rows = [(i, "All is well. we then wen", "m") for i in range(60)]
