@@ -4,7 +4,8 @@ Unicode quick-check properties tell which characters can change under NFKC or jo
 character before them. Runs of those (plus one stable character to the left, the only one that can
 take part in a composition) are cut out, normalised alone and spliced back; the rest of the text is
 never touched. Invisible characters go, blanks become a space, and foreign look-alike letters in a
-word that also has Latin letters become the Latin ones.
+word that also has Latin letters become the Latin ones, with the accents they carry. Those that normalisation would
+turn into another letter of their alphabet (the lunate sigmas) are replaced before it.
 
 Defined cases: null stays null, an empty text stays empty, any length is processed whole, words
 wholly in one other script, ordinary accented letters and typographic quotes stay as they are.
@@ -21,16 +22,26 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Greek and Cyrillic letters that are drawn like a Latin letter.
+# Letters of other alphabets that are drawn like a Latin letter: Greek, Cyrillic, Armenian, Cherokee, phonetic.
 FOREIGN = (
-    "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϺ" "οανικρυϲϳ"
-    "АВЕЅІЈКМНОРСТУХҮԌԛԜԁһ" "аеѕіјорсухԝӏҮ" "ВГ"
+    "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϺͿ" "αονικρυϲϳ"
+    "АВЕЅІЈКМНОРСТУХҮԌԛԜԁһ" "аеѕіјорсухԝӏҮвгкмтпшь" "ВГԚԐᎪ"
+    "ՍՕՏԼոսօհցզյ"
+    "ᎡᎢᎥᎫᎬᎳᎷᎻᏀᏂᏃᏚᏞᏟᏢᏦᏴᏙᏔ"
+    "ɑɡɩʋ"
 )
 LATIN = (
-    "ABEZHIKMNOPTYXCM" "oavikpucj"
-    "ABESIJKMHOPCTYXYGqWdh" "aesijopcyxwlY" "BГ"
+    "ABEZHIKMNOPTYXCMJ" "aovikpucj"
+    "ABESIJKMHOPCTYXYGqWdh" "aesijopcyxwlYbrkmtnwb" "BГQEA"
+    "UOSLnuohgqj"
+    "RTiJEWMHGhZSLCPKBVW"
+    "agiv"
 )
 LOOK_ALIKE = {ord(a): b for a, b in zip(FOREIGN, LATIN, strict=True)}
+# by rule: small capitals are the letter in their name
+LOOK_ALIKE |= {i: m[1].lower() for i in (*range(0x250, 0x2B0), *range(0x1D00, 0x1D30), *range(0xA730, 0xA732)) if (m := re.fullmatch("LATIN LETTER SMALL CAPITAL ([A-Z])", unicodedata.name(chr(i), "")))}
+# those that normalisation would turn into another letter of their alphabet first
+EARLY = {i: c for i, c in LOOK_ALIKE.items() if unicodedata.normalize("NFKC", chr(i)) != chr(i)}
 
 # Texts of only these characters are already canonical; the test stays in the JVM.
 PLAIN = r"^[\x09\x0a\x0d\x20-\x7eÀ-ıĴ-ľŁ-ňŊ-ž‘-‟]*$"
@@ -81,7 +92,10 @@ def unstable_run() -> re.Pattern[str]:
 
 WORD = re.compile(r"[^\W\d_]+")
 CHUNK = re.compile(r"[^\W\d_]+(?:['’.][^\W\d_]+)*")
-FOREIGN_LETTER = re.compile("[Ͱ-ԯԱ-ևᲀ-᲏ἀ-῿]")
+FOREIGN_LETTER = re.compile("[Ͱ-ԯԱ-ևᎠ-ᏽꭰ-ꮿᲀ-᲏ἀ-῿]")
+DRAWN_LIKE = re.compile(f"[{''.join(map(chr, LOOK_ALIKE))}]")
+PHONETIC = re.compile(f"[{''.join(chr(i) for i in LOOK_ALIKE if 0x250 <= i < 0x2B0 or 0x1D00 <= i < 0x1D30 or i >= 0xA730)}]")
+EARLY_LETTER = re.compile(f"[{''.join(map(chr, EARLY))}]")
 LATIN_LETTER = re.compile("[A-Za-zÀ-ɏḀ-ỿ]")
 
 
@@ -90,22 +104,36 @@ def _segment(match: re.Match[str]) -> str:
     return "".join(" " if odd_blank(c) else c for c in unicodedata.normalize("NFKC", text) if not invisible(c))
 
 
+def _flat(word: str) -> str:
+    """Look-alike letters as Latin ones; accents stay on their letter."""
+    if not word.isascii() and not DRAWN_LIKE.search(word):
+        parts = unicodedata.normalize("NFD", word)
+        return unicodedata.normalize("NFC", parts.translate(LOOK_ALIKE)) if DRAWN_LIKE.search(parts) else word
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", word).translate(LOOK_ALIKE))
+
+
 def canonical(text: str) -> tuple[str, bool]:
     """The canonical text, and whether the given one held anything else."""
-    out = unstable_run().sub(_segment, text)
+    out = text
+    if EARLY_LETTER.search(out):
+        out = re.sub(r"\S+", lambda m: m[0].translate(EARLY) if LATIN_LETTER.search(m[0]) else m[0], out)
+    out = unstable_run().sub(_segment, out)
     mixed = False
-    if FOREIGN_LETTER.search(out):
+    if FOREIGN_LETTER.search(out) or DRAWN_LIKE.search(out):
 
         def word(m: re.Match[str]) -> str:
             nonlocal mixed
-            w, flat = m[0], m[0].translate(LOOK_ALIKE)
+            w, flat = m[0], _flat(m[0])
+            if flat != w and not FOREIGN_LETTER.search(w):  # phonetic letters and small capitals only
+                mixed = True
+                return flat
             if FOREIGN_LETTER.search(w) and (LATIN_LETTER.search(w) or not FOREIGN_LETTER.search(flat)):
                 mixed = True
                 return flat
             return w
 
         # a letter joined to Latin letters by an apostrophe or a full stop belongs to their word
-        out = CHUNK.sub(lambda m: WORD.sub(word, m[0]) if LATIN_LETTER.search(m[0]) else m[0], out)
+        out = CHUNK.sub(lambda m: WORD.sub(word, m[0]) if LATIN_LETTER.search(m[0]) or PHONETIC.search(m[0]) else m[0], out)
     # dropping an invisible character may bring a mark next to its letter
     if unstable_run().search(out):
         out = unicodedata.normalize("NFKC", out)

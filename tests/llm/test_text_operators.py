@@ -24,7 +24,8 @@ VOCABULARY = os.path.join(p08.FOLDER, "byte_bpe_50k.tiktoken")
     [
         ("Mia Stone", "Mia Stone", False), ("", "", False), ("José O’Neil \t\n", "José O’Neil \t\n", False), ("Анна Жуковец", "Анна Жуковец", False), ("佐伯 ゆう 고", "佐伯 ゆう 고", False),
         ("José", "José", True), ("Ｍｉａ　Ｓ", "Mia S", True), ("M​ia﻿", "Mia", True), ("Mia S", "Mia S", True), ("Rеbecca", "Rebecca", True), ("О'Bofoga", "O'Bofoga", True),
-        ("𝐌𝐢𝐚", "Mia", True), ("ﬁne", "fine", True), ("e​́", "é", True), ("́", "́", False), ("Αnna Σοφία", "Anna Σοφία", True), ("a´b", "a´b", False),
+        ("𝐌𝐢𝐚", "Mia", True), ("ﬁne", "fine", True), ("e​́", "é", True), ("Sϲott", "Scott", True), ("Ϲarl", "Carl", True), ("ϲοφία", "ςοφία", True), ("Dɑn Wɡ", "Dan Wg", True), ("ᴍɪᴀ", "mia", True), ("Ꮇia Ꭺnna", "Mia Anna", True), ("Zoё", "Zoë", True), ("Mάx", "Máx", True), ("Məmməd", "Məmməd", False), ("Օlga", "Olga", True),
+        ("ᏣᎳᎩ", "ᏣᎳᎩ", False), ("Հայկ", "Հայկ", False), ("́", "́", False), ("Αnna Σοφία", "Anna Σοφία", True), ("a´b", "a´b", False),
     ],
 )
 def test_canonical(text, want, changed):
