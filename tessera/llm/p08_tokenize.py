@@ -8,8 +8,11 @@ bytes, and since the automaton is deterministic a word has one such path. States
 a state keeps only the gadget that made it and the steps taken away later, each with its rank, so the
 table has one entry per merge.
 
-A word is read byte by byte; for each prefix the table gives the one last token of its path. The
-arcs' labels, walked back from the end, are the ids; their bytes, joined, are the word again.
+A word is read byte by byte through a transition table. A state holds what the rest of a word can depend on: the
+node of the token trie (with failure links) for the longest end of the text that begins a token, and the last token of
+the path at each place inside that end. A byte leads to one next state, whose last token is the longest token ending there
+that the automaton lets follow the path before it. A transition is worked out once, when it is first met, and
+then read from the table. The arcs' labels, walked back from the end, are the ids; their bytes, joined, are the word again.
 
 Words come from the vocabulary's public split pattern. Files are a parameter (a folder), never
 copied: each Python worker loads them once.
@@ -33,6 +36,7 @@ FOLDER = os.environ.get("TOKENIZER_FOLDER", "/opt/tokenizers")
 # Fixed value: the public split pattern of the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CACHE_WORDS = 200_000
+TABLE_ENTRIES = 2_000_000  # transitions held; then the table starts anew
 CACHE_BYTES = 48
 
 
@@ -45,18 +49,18 @@ class Automaton:
         self.removed: dict[tuple[int, int], int] = {}  # step -> rank of the gadget that took it away
         self.left: dict[int, int] = {}
         self.right: dict[int, int] = {}
-        self.longest = max(map(len, ranks))
-        self.allowed: dict[tuple[int, int], bool] = {}
         for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
             if len(token) > 1:
                 self.gadget(token, rank)
+        self._trie()
+        self._start()
 
     def gadget(self, token: bytes, rank: int) -> None:
         """Add the state of a merge. Its two parts are the path of the automaton built so far."""
-        path = self.path(token, rank)
-        if len(path) != 2:
+        found = [(a, b) for k in range(1, len(token)) if (a := self.ranks.get(token[:k], rank)) < rank and (b := self.ranks.get(token[k:], rank)) < rank and self.steps(a, b, rank)]
+        if len(found) != 1:
             raise ValueError(f"not a merge of two earlier tokens: {token!r}")
-        a, b = path
+        a, b = found[0]
         self.removed[a, b] = rank
         self.left[rank], self.right[rank] = a, b
 
@@ -73,34 +77,73 @@ class Automaton:
             else:
                 return True
 
-    def step(self, a: int, b: int) -> bool:
-        key = (a, b)
-        out = self.allowed.get(key)
-        if out is None:
-            if len(self.allowed) > 1_000_000:
-                self.allowed.clear()
-            out = self.allowed[key] = self.steps(a, b, 1 << 60)
-        return out
-
-    def path(self, word: bytes, before: int = 1 << 60) -> list[int]:
-        """Labels of the one path of ``word`` (over tokens of rank below ``before``)."""
-        last: list[int] = [-1]
-        final = before == 1 << 60
-        ranks, n = self.ranks, len(word)
-        for i in range(1, n + 1):
-            for j in range(max(0, i - self.longest), i):
-                t = ranks.get(word[j:i])
-                if t is not None and t < before or (t is not None and i - j == 1):
-                    p = last[j]
-                    if p < 0 or (self.step(p, t) if final else self.steps(p, t, before)):
-                        last.append(t)
-                        break
-            else:
-                raise ValueError(f"no path for {word!r}")
-        out, i = [], n
+    def _trie(self) -> None:
+        """Nodes are beginnings of tokens: child (node and byte to node), fail, the token that ends at a node (or -1), and
+        the nearest node, itself or by failure links, at which one ends."""
+        self.child: dict[int, int] = {}
+        token, self.depth = [-1], [0]
+        for t, rank in self.ranks.items():
+            node = 0
+            for c in t:
+                key = node << 8 | c
+                if key not in self.child:
+                    self.child[key] = len(token)
+                    token.append(-1)
+                    self.depth.append(self.depth[node] + 1)
+                node = self.child[key]
+            token[node] = rank
+        self.token, self.fail = token, [0] * len(token)
+        self.ends = [0] * len(token)
+        for key, node in sorted(self.child.items(), key=lambda x: self.depth[x[1]]):
+            parent, c = key >> 8, key & 255
+            self.fail[node] = self._goto(self.fail[parent], c) if parent else 0
+            self.ends[node] = node if token[node] >= 0 else self.ends[self.fail[node]]
+
+    def _goto(self, node: int, c: int) -> int:
+        while node and node << 8 | c not in self.child:
+            node = self.fail[node]
+        return self.child.get(node << 8 | c, 0)
+
+    def _start(self) -> None:
+        self.table: dict[int, int] = {}  # state and byte -> state
+        self.number: dict[tuple[int, tuple[int, ...]], int] = {(0, (-1,)): 0}
+        self.state, self.last = [(0, (-1,))], [-1]
+
+    def transition(self, state: int, c: int) -> int:
+        """The state after byte ``c``, entered into the table."""
+        node, lasts = self.state[state]
+        node = self._goto(node, c)
+        at = self.ends[node]
+        while True:
+            if not at:
+                raise ValueError(f"no token for byte {c}")
+            t, before = self.token[at], lasts[-self.depth[at]]
+            if before < 0 or self.steps(before, t, 1 << 60):
+                break
+            at = self.ends[self.fail[at]]
+        new = (node, (*lasts, t)[-self.depth[node] - 1 :])
+        number = self.number.get(new)
+        if number is None:
+            number = self.number[new] = len(self.state)
+            self.state.append(new)
+            self.last.append(t)
+        self.table[state << 8 | c] = number
+        return number
+
+    def path(self, word: bytes) -> list[int]:
+        """Labels of the one path of ``word``."""
+        if len(self.table) > TABLE_ENTRIES:
+            self._start()
+        table, last, state, read = self.table, self.last, 0, []
+        for c in word:
+            to = table.get(state << 8 | c)
+            state = self.transition(state, c) if to is None else to
+            read.append(last[state])
+        out, i, label = [], len(read), self.label
         while i:
-            out.append(last[i])
-            i -= len(self.label[last[i]])
+            t = read[i - 1]
+            out.append(t)
+            i -= len(label[t])
         return out[::-1]
 
     def decode(self, ids: list[int]) -> bytes:
