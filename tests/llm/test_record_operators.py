@@ -253,6 +253,23 @@ def test_currency_decides_among_undated_rows(spark):
     assert ids == [100, 101]  # smallest id; the value that is known to follow
 
 
+def test_currency_is_transitive_and_cycles_are_ties(spark):
+    def pairs(*p):
+        return spark.createDataFrame([("ctype", a, b) for a, b in p], "field_name string, value string, later string")
+
+    got = {(r.value, r.later) for r in p07.closure(pairs(("a", "b"), ("b", "c"), ("c", "d"), ("x", "y"), ("y", "z"), ("z", "x"), ("z", "a"))).collect()}
+    assert got == {(p, q) for p, q in itertools.combinations("abcd", 2)} | {(p, q) for p in "xyz" for q in "abcd"}
+    assert p07.closure(pairs().limit(0)).count() == 0
+    t = lambda d: datetime.datetime(2025, 1, d)
+    steps = [("Consultant", "Branch Director"), ("Branch Director", "Adviser")]  # Consultant never stands beside Adviser with dates
+    rows = [(10 * g + k, "a", None, None, c, "Low", t(k + 1)) for g, s in enumerate(steps * 2) for k, c in enumerate(s)]
+    rows += [(100, "b", None, None, "Consultant", "Low", None), (101, "b", None, None, "Adviser", "Low", None)]
+    groups = spark.createDataFrame([(g, 10 * g + k) for g in range(4) for k in range(2)] + [(9, 100), (9, 101)], "group_id bigint, contact_id bigint")
+    trust = spark.createDataFrame([("Low", 1)], "source string, trust int")
+    got = {(r.group_id, r.field_name): r.contact_id for r in p07.survivors(contacts(spark, rows), groups, trust, True).collect()}
+    assert got[9, "ctype"] == 101
+
+
 @pytest.mark.parametrize(
     ("a", "b", "same"),
     [
