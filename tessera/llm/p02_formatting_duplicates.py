@@ -5,8 +5,10 @@ hashes seen again. Filters merge as (A, B) + (A', B') = (A | A', B | B' | (A & A
 every hash that two partitions share. Pass 2 sends only rows that the merged second filter may
 contain through the shuffle for exact grouping; every other row is a record of its own.
 
-The filter never exceeds ``MAX_BITS`` (its broadcast is bounded at 32 MB); with more rows it only
-lets more rows through to the exact grouping, never fewer.
+Rows are keyed once and written in parts by hash, as many as it takes for a part's filter of ``BITS_PER_ROW`` bits
+a row to stay within ``MAX_BITS`` (a broadcast of 64 MB). The parts are filtered one after another, each reading its
+own files only, so the filter is as selective for billions of rows as for thousands, and nothing grows but the
+number of parts.
 
 Defined cases: null, empty or incomplete e-mails make a row a record of its own; a null name has no
 parts and agrees only with other names without parts; rows of problem 1 are records of their own;
@@ -23,9 +25,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import new_path, written
 from .p01_canonical_text import with_canonical
 
-MAX_BITS = 1 << 28
+MAX_BITS = 1 << 29
 BITS_PER_ROW = 16
 SLICE = 8192
 SALTS = 8
@@ -108,16 +111,15 @@ def _merge(keep_lane: bool):
     return merge
 
 
-def possible_repeats(hashed: DataFrame, column: str = "__h", lanes: int = 32) -> Column:
-    """A condition that holds for every row whose hash occurs more than once, and for few others."""
+def possible_repeats(hashed: DataFrame, rows: int, column: str = "__h", lanes: int = 32) -> Column:
+    """A condition that holds for every one of ``rows`` rows whose hash occurs more than once, and for few others."""
     spark = hashed.sparkSession
-    rows = hashed.count()
-    bits = 1 << max(16, min(MAX_BITS, max(1, rows * BITS_PER_ROW)).bit_length() - 1)
+    bits = 1 << max(16, (max(1, rows * BITS_PER_ROW) - 1).bit_length())
     kind = "slice int, lane int, once binary, again binary"
     parts = hashed.select(column).mapInArrow(_build(bits, lanes), kind)
     merged = parts.groupBy("slice", "lane").applyInArrow(_merge(True), kind).groupBy("slice").applyInArrow(_merge(False), kind)
     again = np.zeros(bits // 8, np.uint8)
-    for row in merged.select("slice", "again").collect():  # at most MAX_BITS / 8 bytes, whatever the input
+    for row in merged.select("slice", "again").collect():  # the filter of one part: at most MAX_BITS / 4 bytes
         again[row.slice * SLICE : row.slice * SLICE + len(row.again)] = np.frombuffer(row.again, np.uint8)
     held = spark.sparkContext.broadcast(again)
 
@@ -135,19 +137,33 @@ def keyed_contacts(contacts: DataFrame) -> DataFrame:
     return named.select("contact_id", F.when(can, email_key(F.col("email"))).alias("ek"), F.when(can, name_key(F.col("name"))).alias("nk"))
 
 
-def grouped_copies(contacts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows that may have copies with their keys, groups of two or more: ek, nk, first_id, copies)."""
-    keyed = keyed_contacts(contacts).filter("ek is not null").withColumn("__h", F.xxhash64("ek", "nk"))
-    maybe = keyed.filter(possible_repeats(keyed)).drop("__h")
-    groups = maybe.groupBy("ek", "nk").agg(F.min("contact_id").alias("first_id"), F.count("*").alias("copies")).filter("copies > 1")
-    return maybe, groups
+def divided(contacts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows that may have copies, with their keys; ids of rows that have none; groups of two or more rows: ek, nk, first_id,
+    copies). Only the first go through a shuffle."""
+    spark, at = contacts.sparkSession, new_path(contacts.sparkSession, "keyed")
+    n_parts = max(1, -(-contacts.count() * BITS_PER_ROW // MAX_BITS))
+    keyed = keyed_contacts(contacts).withColumn("__h", F.when(F.col("ek").isNotNull(), F.xxhash64("ek", "nk")))
+    keyed = keyed.withColumn("__part", F.coalesce(F.pmod(F.shiftright("__h", 20), F.lit(n_parts)).cast("int"), F.lit(-1)))
+    keyed.write.partitionBy("__part").parquet(at)
+    keyed = spark.read.schema(keyed.schema).parquet(at)
+    sizes = {r["__part"]: r["n"] for r in keyed.groupBy("__part").agg(F.count("*").alias("n")).collect()}  # one row a part
+    maybe, single = keyed.limit(0), keyed.filter("__part = -1").select("contact_id")
+    for part, n in sizes.items():
+        if part >= 0:
+            rows = keyed.filter(F.col("__part") == part)
+            rows = rows.withColumn("__maybe", possible_repeats(rows, n))
+            maybe = maybe.unionAll(rows.filter("__maybe").drop("__maybe"))
+            single = single.unionAll(rows.filter("not __maybe").select("contact_id"))
+    maybe = written(maybe.select("contact_id", "ek", "nk"), "maybe")
+    groups = maybe.groupBy("ek", "nk").agg(F.min("contact_id").alias("first_id"), F.count("*").alias("copies"))
+    return maybe, single, groups
 
 
 def copies_found(contacts: DataFrame) -> DataFrame:
     """contact_id_a (smallest of its group), contact_id_b for each other copy. The join back is salted,
     so that a group with a third of all rows spreads over tasks."""
-    maybe, groups = grouped_copies(contacts)
-    spread = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    maybe, _, groups = divided(contacts)
+    spread = groups.filter("copies > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = maybe.withColumn("salt", F.pmod(F.xxhash64("contact_id"), F.lit(SALTS)).cast("int"))
     return (
         rows.join(spread, ["ek", "nk", "salt"])
@@ -157,8 +173,6 @@ def copies_found(contacts: DataFrame) -> DataFrame:
 
 
 def records(contacts: DataFrame) -> DataFrame:
-    """One row per record: contact_id (smallest of its copies) and copies."""
-    copies = copies_found(contacts)
-    counts = copies.groupBy("contact_id_a").agg((F.count("*") + 1).alias("n"))
-    kept = contacts.select("contact_id").join(copies.select(F.col("contact_id_b").alias("contact_id")), "contact_id", "left_anti")
-    return kept.join(counts, kept.contact_id == counts.contact_id_a, "left").select("contact_id", F.coalesce("n", F.lit(1)).cast("bigint").alias("copies"))
+    """One row per record: contact_id (smallest of its copies) and copies. Rows that the filter clears are emitted as they are."""
+    _, single, groups = divided(contacts)
+    return single.withColumn("copies", F.lit(1).cast("bigint")).unionAll(groups.select("first_id", "copies"))

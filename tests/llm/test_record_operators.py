@@ -56,10 +56,24 @@ def test_copies_equal_grouping_with_a_hot_group(spark):
 
 def test_filter_is_selective_and_loses_nothing(spark):
     df = spark.range(20000).select(F.xxhash64(F.when(F.col("id") < 200, F.col("id") % 100).otherwise(F.col("id"))).alias("__h"), "id").repartition(6)
-    kept = {r.id for r in df.filter(p02.possible_repeats(df)).collect()}
+    kept = {r.id for r in df.filter(p02.possible_repeats(df, 20000)).collect()}
     assert set(range(200)) <= kept and len(kept) < 1500
 
 
+def test_filter_stays_selective_in_parts(spark, monkeypatch):
+    """With a filter bound far below the rows, more parts keep it selective, and the records are the same."""
+    rows = [(i, f"Name{i % 3900} X", f"n{i % 3900}@x.test") for i in range(4000)] + [(9000, None, None)]
+    df = contacts(spark, rows)
+    want = sorted(map(tuple, p02.copies_found(df).collect()))
+    assert want == sorted((i, i + 3900) for i in range(100))
+    monkeypatch.setattr(p02, "MAX_BITS", 1 << 13)
+    maybe, single, groups = p02.divided(df)
+    assert 200 <= maybe.count() < 500 and maybe.count() + single.count() == 4001
+    assert sorted(map(tuple, p02.copies_found(df).collect())) == want
+    got = {r.contact_id: r.copies for r in p02.records(df).collect()}
+    assert len(got) == 3901 and got[5] == 2 and got[3800] == 1 and got[9000] == 1
+
+
 @pytest.mark.parametrize(
     ("raw", "want"),
     [
