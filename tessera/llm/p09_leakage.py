@@ -1,8 +1,8 @@
 """Problem 9: evaluation passages inside training texts.
 
 The n-grams of the held-out passages (default 12 words; a word is a run of letters or digits, case
-does not count) are broadcast as a hash table of at most ``BLOCK_WORDS`` words; a larger test set is
-read in blocks of that size, each against the whole corpus. A text is split into words once; only
+does not count) are broadcast in blocks of about ``BLOCK_WORDS`` words, each a sorted array of hashes on the worker; a
+larger test set is read block by block, each against the whole corpus. A text is split into words once; only
 runs of n or more words that all occur in the passages can hold a hit, so most windows are never
 built. Hits are looked up word for word, not by hash alone.
 
@@ -18,6 +18,7 @@ import re
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,18 +29,33 @@ WORD = re.compile(r"[^\W_]+")
 
 
 class Passages:
-    """Vocabulary and n-grams of a block of items: n-gram -> item ids."""
+    """n-grams of a block of items: the words' numbers in one array, and the sorted hashes of all windows of n words with
+    their places; about 20 bytes a word. A hash that meets is verified word for word."""
 
     def __init__(self, items: list[tuple[int, str]], n: int) -> None:
         self.n = n
         self.number: dict[str, int] = {}
-        self.grams: dict[tuple[int, ...], list[int]] = {}
+        words, places, owner, at = [], [], [], 0
         for item, passage in items:
             w = [self.number.setdefault(x, len(self.number)) for x in WORD.findall(passage.lower())]
-            for i in range(len(w) - n + 1):
-                held = self.grams.setdefault(tuple(w[i : i + n]), [])
-                if item not in held:
-                    held.append(item)
+            words += w
+            places += range(at, at + len(w) - n + 1)
+            owner += [item] * max(0, len(w) - n + 1)
+            at += len(w)
+        self.words = np.array(words, np.int64)
+        place = np.array(places, np.int64)
+        hashes = self._hashes(self.words)[place] if len(place) else np.zeros(0, np.uint64)
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.place, self.owner = hashes[order], place[order], np.array(owner, np.int64)[order]
+
+    def _hashes(self, words: np.ndarray) -> np.ndarray:
+        """One hash for every window of n words."""
+        size = len(words) - self.n + 1
+        out = np.zeros(max(size, 0), np.uint64)
+        for k in range(self.n if size > 0 else 0):
+            out = out * np.uint64(0x9E3779B97F4A7C15) + words[k : k + size].astype(np.uint64) + np.uint64(1)
+            out ^= out >> np.uint64(29)
+        return out
 
     def hits(self, text: str) -> Iterator[tuple[int, int, list[int]]]:
         """(first word, word after the last, items) of every window that is an n-gram of an item."""
@@ -47,10 +63,14 @@ class Passages:
         w = [number.get(x, -1) for x in WORD.findall(text.lower())]
         start = 0
         for end in [i for i, x in enumerate(w) if x < 0] + [len(w)]:
-            for i in range(start, end - n + 1):
-                items = self.grams.get(tuple(w[i : i + n]))
-                if items:
-                    yield i, i + n, items
+            if end - start >= n:
+                run = np.array(w[start:end], np.int64)
+                h = self._hashes(run)
+                lo, hi = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
+                for i in np.flatnonzero(lo < hi):
+                    met = [k for k in range(lo[i], hi[i]) if np.array_equal(self.words[self.place[k] : self.place[k] + n], run[i : i + n])]
+                    if met:
+                        yield start + int(i), start + int(i) + n, sorted({int(self.owner[k]) for k in met})
             start = end + 1
 
 
