@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ ROLES = (
     "info", "enquiry", "enquiries", "admin", "contact", "sales", "support", "hello", "ask", "help", "general", "office", "mail", "marketing",
     "hr", "careers", "jobs", "compliance", "legal", "finance", "accounts", "billing", "service", "customercare", "advice", "team", "partners",
     "no-reply", "noreply", "donotreply", "webmaster", "postmaster", "abuse", "privacy", "dpo", "feedback", "invest", "client", "clients",
-    "claims", "complaints", "audit", "risk", "operations", "ops", "reception", "training",
+    "claims", "pdpa", "mypersonaldata", "personaldata", "marketconduct", "chru", "complaints", "whistleblowing", "audit", "risk", "operations", "ops", "reception", "training",
 )
 PLACEHOLDER_DOMAINS = ("domain.com", "example.com", "example.org", "email.com", "yourdomain.com", "company.com", "gmail.co", "abc.com")
 PLACEHOLDER_LOCALS = ("user", "username", "yourname", "your-name", "name", "email", "youremail", "firstname", "lastname", "someone", "test")
@@ -34,19 +36,19 @@ def domain(email: Column) -> Column:
     return F.when(email.contains("@"), F.regexp_extract(email, "@(.*)$", 1))
 
 
-def is_role(local_part: Column) -> Column:
+def is_role(local_part: Column, roles: Sequence[str] = ROLES) -> Column:
     """The whole local part or its first piece is a desk's name."""
     low = F.lower(local_part)
-    return low.isin(*ROLES) | F.element_at(F.split(low, r"[.\-_+]"), 1).isin(*ROLES)
+    return low.isin(*roles) | F.element_at(F.split(low, r"[.\-_+]"), 1).isin(*roles)
 
 
-def is_placeholder(email: Column) -> Column:
+def is_placeholder(email: Column, domains: Sequence[str] = PLACEHOLDER_DOMAINS, locals_: Sequence[str] = PLACEHOLDER_LOCALS) -> Column:
     low = F.lower(email)
-    return domain(low).isin(*PLACEHOLDER_DOMAINS) | local(low).isin(*PLACEHOLDER_LOCALS)
+    return domain(low).isin(*domains) | local(low).isin(*locals_)
 
 
-def is_free(domain_part: Column) -> Column:
-    return domain_part.isin(*FREE_MAIL)
+def is_free(domain_part: Column, free: Sequence[str] = FREE_MAIL) -> Column:
+    return domain_part.isin(*free)
 
 
 def registrable(host: Column) -> Column:

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accented Latin letters and the plain letters they decompose to.
-ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿĀāĂăĄąĆćČčĎďĒēĘęĚěĞğĪīİĹĺĽľŃńŇňŌōŐőŔŕŘřŚśŞşŠšŤťŪūŮůŰűŹźŻżŽž"
-PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyyAaAaAaCcCcDdEeEeEeGgIiILlLlNnNnOoOoRrRrSsSsSsTtUuUuUuZzZzZz"
+# By rule: what is left of a character when its compatibility decomposition keeps ASCII only. One character
+# each is left of most; ligatures and digraphs leave two or more.
+_LEFT = {c: r for c in map(chr, (i for i in range(0x80, sys.maxunicode + 1) if not 0xD800 <= i < 0xE000)) if (r := unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode())}
+ACCENTED = "".join(c for c, r in _LEFT.items() if len(r) == 1)
+PLAIN = "".join(r for r in _LEFT.values() if len(r) == 1)
+LIGATURES = {c: r for c, r in _LEFT.items() if len(r) > 1 and r.isalpha() and unicodedata.category(c) in ("Lu", "Ll", "Lt")}
 
 
 def strip(c: Column) -> Column:
@@ -21,8 +27,12 @@ def person_key(name: Column) -> Column:
 
 
 def fold(c: Column) -> Column:
-    """Accents off, everything else beyond ASCII dropped."""
-    return F.regexp_replace(F.translate(c, ACCENTED, PLAIN), r"[^\x00-\x7f]", "")
+    """Letters and digits of every style without accents, ligatures written out, everything else beyond ASCII dropped."""
+    out = c
+    for letter, plain in LIGATURES.items():
+        out = F.replace(out, F.lit(letter), F.lit(plain))
+    out = F.when(c.rlike(f"[{''.join(LIGATURES)}]"), out).otherwise(c)
+    return F.regexp_replace(F.when(c.rlike(r"[^\x00-\x7f]"), F.translate(out, ACCENTED, PLAIN)).otherwise(c), r"[^\x00-\x7f]", "")
 
 
 def recode(c: Column, values: dict[str, str]) -> Column:

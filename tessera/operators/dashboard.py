@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import safe_ratio
 from ..model import STAGES, STATUSES, UNKNOWN
 from .derive import engagement, long_events, n_attended, n_invited, named
-from .ranking import top
+from .ranking import global_rank, top
 
 
 def with_firm(contacts: DataFrame) -> DataFrame:
@@ -33,8 +33,7 @@ def firm_rollup(contacts: DataFrame) -> DataFrame:
         F.count_if(F.col("invested") == "Yes").alias("investors"),
         F.round(F.coalesce(F.sum("aum"), F.lit(0.0)) / 1e6, 4).alias("aum_m"),
     )
-    # the rolled-up rows are few: one per firm; the total stands among them
-    share = F.max(F.when(F.col("is_total") == 1, F.col("contacts"))).over(W.partitionBy())
+    share = rows.agg(F.count("*")).scalar()  # one number, counted beside the roll-up; no task holds all firms
     return out.select(
         F.when(F.col("is_total") == 1, "TOTAL").otherwise(F.col("firm")).alias("firm"), F.col("is_total").cast("int").alias("is_total"), "contacts",
         F.round(safe_ratio(F.col("contacts"), share), 6).alias("share_of_db"), "met", F.round(safe_ratio(F.col("met"), F.col("contacts")), 6).alias("share_met"),
@@ -114,14 +113,22 @@ def profile(contacts: DataFrame) -> DataFrame:
     return contacts.select(F.inline(values)).groupBy("column_name", "value").agg(F.count("*").alias("n"))
 
 
+def firm_counts(contacts: DataFrame) -> DataFrame:
+    return with_firm(named(contacts)).groupBy("firm").agg(F.count("*").alias("contacts"))
+
+
 def top_firms(contacts: DataFrame, k: int = 10) -> DataFrame:
     """The k firms with most contacts, name in order of code points on ties."""
-    got = with_firm(named(contacts)).groupBy("firm").agg(F.count("*").alias("contacts"))
-    return top(got, [F.desc("contacts"), F.asc("firm")], k)
+    return top(firm_counts(contacts), [F.desc("contacts"), F.asc("firm")], k)
+
+
+def ranked_firms(contacts: DataFrame) -> DataFrame:
+    """All firms with their place in that order."""
+    return global_rank(firm_counts(contacts), [F.desc("contacts"), F.asc("firm")], "place")
 
 
 def scales(contacts: DataFrame) -> DataFrame:
     """firm, contacts, bar (share of the largest), colour (share met, 0 to 1)."""
     got = with_firm(named(contacts)).groupBy("firm").agg(F.count("*").alias("contacts"), F.count_if(F.col("met") == "Yes").alias("met"))
-    most = F.max("contacts").over(W.partitionBy())
+    most = got.agg(F.max("contacts")).scalar()  # one number
     return got.select("firm", "contacts", F.round(F.col("contacts") / most, 6).alias("bar"), F.round(safe_ratio(F.col("met"), F.col("contacts")), 6).alias("colour"))

@@ -63,6 +63,24 @@ def derived(contacts: DataFrame, event_slots: DataFrame, as_of: datetime.date) -
     )
 
 
+def rule_flags(contacts: DataFrame, as_of: datetime.date, late: int = 120) -> DataFrame:
+    """contact_id and what a sheet's rules mark: met, overdue, for each event good, warn, bad or dim, and whether a
+    contact that was met has no meeting or a meeting no date (checks that should be 0)."""
+    marks = {"Attended": "good", "No Show": "warn", "Declined": "bad", NOT_INVITED: "dim"}
+
+    def mark(e: str) -> Column:
+        out = F.lit(None).cast("string")
+        for status, m in marks.items():
+            out = F.when(F.col(e) == status, m).otherwise(out)
+        return out.alias(f"{e}_mark")
+
+    met, mtgs = F.coalesce(F.col("met") == "Yes", F.lit(False)), F.coalesce("mtgs", F.lit(0))
+    return named(contacts).select(
+        "contact_id", met.cast("int").alias("is_met"), F.coalesce(days_since(as_of) > late, F.lit(False)).cast("int").alias("is_late"), *[mark(e) for e in EVENTS],
+        (met & (mtgs == 0)).cast("int").alias("met_without_meeting"), ((mtgs > 0) & F.col("lastmtg").isNull()).cast("int").alias("meeting_without_date"),
+    )
+
+
 def long_events(contacts: DataFrame) -> DataFrame:
     """contact_id, slot, status: one row per contact and event slot."""
     return contacts.select("contact_id", F.posexplode(statuses()).alias("slot", "status")).withColumn("slot", F.col("slot") + 1)

