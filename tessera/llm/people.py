@@ -319,26 +319,32 @@ def links(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs.filter("strong").select("space", "a", "b").unionAll(kept.select("space", "a", "b")), few
 
 
-def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """rec, person: the smallest node that each node of an edge is connected with. Labels move along edges
-    and then to the label's label; each round is a written table."""
-    both = written(edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    # the first round needs no labels: the smallest neighbour or the node itself
-    last = written(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("rec"), F.least("a", "b").alias("person")), "labels")
-    for _ in range(rounds):
-        near = both.join(last, both.b == last.rec).groupBy("a").agg(F.min("person").alias("least"))
-        step = last.join(near, last.rec == near.a).select("rec", F.col("person").alias("was"), F.least("person", "least").alias("mid"))
-        jump = last.select(F.col("rec").alias("mid"), F.col("person").alias("far"))
-        new = written(step.join(jump, "mid").select("rec", "was", F.least("mid", "far").alias("person")), "labels")
-        done = new.filter("was <> person").isEmpty()
-        discard(last)
-        last = new
-        if done:
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """rec, person: the same person for all nodes (of an edge) that are connected. In each round a node takes the first of
+    itself and its neighbours in an order that is drawn anew, and edges are drawn between what their ends took; those
+    within one node go. So most edges are gone after the first round, whatever the shape of the graph, and only what is left
+    is read again. Rounds are written tables; in the end the steps of all rounds are followed."""
+    def first(c: str, k: int) -> Column:
+        return F.struct(F.xxhash64(F.lit(k), c).alias("o"), F.col(c).alias("n"))
+
+    left = written(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    steps: list[DataFrame] = []
+    for k in range(rounds):
+        ends = left.select("a", first("b", k).alias("f")).unionAll(left.select(F.col("b").alias("a"), first("a", k).alias("f")))
+        taken = ends.groupBy("a").agg(F.min("f").alias("f")).select(F.col("a").alias("rec"), F.least(first("a", k), "f")["n"].alias("person"))
+        steps.append(written(taken, "labels"))
+        new = left.join(steps[-1].select(F.col("rec").alias("a"), F.col("person").alias("x")), "a").join(steps[-1].select(F.col("rec").alias("b"), F.col("person").alias("y")), "b")
+        new = written(new.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        discard(left)
+        left = new
+        if new.isEmpty():
             break
     else:
         raise RuntimeError("components did not settle")
-    discard(both)
-    return last.select("rec", "person")
+    out = steps[0]
+    for step in steps[1:]:
+        out = out.join(step.select(F.col("rec").alias("person"), F.col("person").alias("next")), "person", "left").select("rec", F.coalesce("next", "person").alias("person"))
+    return out
 
 
 def majority(pairs: DataFrame, key: str, value: str, share: float = 0.6) -> DataFrame:

@@ -376,9 +376,12 @@ def test_persons_of_empty_tables(spark):
 
 
 def test_components(spark):
-    edges = [(i, i + 1) for i in range(0, 18)] + [(20, 25), (25, 30)]
-    got = {r.rec: r.person for r in people.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
-    assert all(got[i] == 0 for i in range(19)) and got[30] == got[25] == 20 and len(got) == 22
+    edges = [(i, i + 1) for i in range(0, 40)] + [(50, 55), (55, 60), (60, 50), (70, 70)] + [(100, 100 + i) for i in range(1, 30)]
+    rows = people.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
+    got = {r.rec: r.person for r in rows}
+    assert len(rows) == len(got) == 41 + 3 + 30
+    assert len({got[i] for i in range(41)}) == len({got[i] for i in (50, 55, 60)}) == len({got[i] for i in range(100, 130)}) == 1 and len(set(got.values())) == 3
+    assert people.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
 def test_name_pairs_equal_brute_force(spark):
