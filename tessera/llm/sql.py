@@ -15,7 +15,20 @@ long AS (
   UNION ALL SELECT group_id, contact_id, trust, updated_at, 'source' FROM r WHERE trusted)
 """
 
+# Names of problem 1 in SQL: a character that is neither plain nor a letter of another script, or Latin and Greek or
+# Cyrillic letters in one word.
+_STYLED = """(regexp_matches(name, '[^\\x09\\x0a\\x0d\\x20-\\x7eÀ-ıĴ-ľŁ-ňŊ-ž‘-‟\\p{Han}\\p{Hiragana}\\p{Katakana}\\p{Hangul}\\p{Cyrillic}\\p{Greek}\\p{Arabic}\\p{Hebrew}\\p{Thai}\\p{Devanagari}]')
+  OR regexp_matches(name, '[A-Za-zÀ-ž][^\\s]*[\\p{Cyrillic}\\p{Greek}]|[\\p{Cyrillic}\\p{Greek}][^\\s]*[A-Za-zÀ-ž]'))"""
+_COPIES = f"""
+k AS (SELECT contact_id, lower(regexp_replace(email, '[^\\pL\\pN]', '', 'g')) AS ek,
+    array_to_string(list_sort(list_filter(string_split_regex(lower(coalesce(name, '')), '[^\\pL\\pN]+'), lambda x: x <> '')), ' ') AS nk,
+    coalesce(regexp_matches(email, '^[^@]*[\\pL\\pN][^@]*@[^@]*[\\pL\\pN]\\.[\\pL\\pN][^@]*$'), false) AND NOT coalesce({_STYLED}, false) AS can FROM contacts),
+g AS (SELECT contact_id, CASE WHEN can THEN min(contact_id) OVER (PARTITION BY can, ek, nk) ELSE contact_id END AS first_id FROM k)
+"""
+
 ORACLE = {
+    "p2_found": f"WITH {_COPIES} SELECT first_id AS contact_id_a, contact_id AS contact_id_b FROM g WHERE contact_id <> first_id",
+    "p2_records": f"WITH {_COPIES} SELECT first_id AS contact_id, count(*) AS copies FROM g GROUP BY 1",
     "p7_found": f"""
 WITH {_USABLE}
 SELECT group_id, field_name, contact_id FROM long
