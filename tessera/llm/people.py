@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import unicodedata
 from collections import defaultdict
@@ -10,7 +11,7 @@ from functools import lru_cache
 from itertools import permutations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -347,6 +348,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return out
 
 
+def settle(spark: SparkSession) -> None:
+    """Let the driver give back what finished plans hold; a query here runs dozens of jobs one after another."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def majority(pairs: DataFrame, key: str, value: str, share: float = 0.6) -> DataFrame:
     """key, value where one value has at least ``share`` of the key's rows."""
     n = pairs.filter(f"{key} is not null and {value} is not null").groupBy(key, value).agg(F.count("*").alias("n"))
@@ -406,7 +413,9 @@ class People:
         rows = [r.filter("name is not null") for r in (self.contacts, self.hits)]
         sides = [r.select("name", "firm", F.array_sort("toks").alias("toks"), F.lit(s).alias("side")) for r, s in zip(rows, spaces.values(), strict=True)]
         self.names = written(sides[0].unionAll(sides[1]).groupBy("name").agg(F.first("firm").alias("firm"), F.first("toks").alias("toks"), F.bit_or("side").alias("side")), "names")
+        settle(self.names.sparkSession)
         self.akin, self.pairs = name_pairs(self.names)
+        settle(self.names.sparkSession)
         here = F.array_compact(F.array(*[F.when(F.col("a_side").bitwiseAND(k).bitwiseAND(F.col("b_side")) > 0, s) for s, k in spaces.items()]))
         linked, unclear = links(self.pairs.withColumn("space", F.explode(here)))
         edges = linked.select(node_of("name", F.col("a")).alias("a"), node_of("name", F.col("b")).alias("b"))
@@ -415,6 +424,7 @@ class People:
         boxes = at.join(unclear, ["space", "a"], "left_anti").select(node_of("name", F.col("a")).alias("a"), "b")
         persons = components(edges.unionAll(boxes)).withColumnRenamed("rec", "node")
         self.contacts, self.hits = [written(r.join(persons, "node", "left").withColumn("person", F.coalesce("person", "node")).drop("node"), "people") for r in (self.contacts, self.hits)]
+        settle(self.names.sparkSession)
 
 
 def node_of(kind: str, what: Column) -> Column:
