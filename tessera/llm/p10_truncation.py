@@ -63,6 +63,7 @@ STOPPED = {"entity": re.compile(r"&(?:#x?[0-9a-f]{0,6}|[a-z]{0,30})$", re.I), "p
 TAG = r"</?[A-Za-z][A-Za-z0-9-]*(?:\s[^<>]*|/)?>|<!--|-->"
 TAG_OPEN = re.compile(r"</?([A-Za-z][A-Za-z0-9-]*)?(\s[^<>]*)?$|<!-?$")
 STRUCTURE = re.compile(f"(?P<tag>{TAG})|(?P<entity>{WHOLE['entity']})|(?P<percent>{WHOLE['percent']})|(?P<quoted>{WHOLE['quoted']})|(?P<escape>{WHOLE['escape']})|(?P<sign>[\"“”„«»()\\[\\]{{}}])")
+SIGN = re.compile(r"[\"“”„«»()\[\]{}<&%=\\]|-->")  # where a structural sign can begin
 PAIRS = {")": "(", "]": "[", "}": "{", "”": "“", "»": "«"}
 SPLIT = re.compile(r"[.!?。！？…]+[\"”’')\]]*(?:\s|$)|[。！？]|\n")
 CODE_SHARE = 0.01  # of a source's different texts that hold whole codes of a family: then it is a coded source
@@ -89,8 +90,11 @@ def automaton(text: str) -> tuple[list[str], int]:
                 if top in openings:
                     return
 
-    for m in STRUCTURE.finditer(text):
-        kind, c = m.lastgroup, m[0]
+    end = 0
+    for sign in SIGN.finditer(text):
+        if sign.start() < end or not (m := STRUCTURE.match(text, sign.start())):
+            continue
+        end, kind, c = m.end(), m.lastgroup, m[0]
         if kind != "sign":
             families |= 1 << FAMILIES.index(kind)
         if kind == "tag":
