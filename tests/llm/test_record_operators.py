@@ -396,6 +396,21 @@ def test_name_pairs_equal_brute_force(spark):
     assert {(bytes(r.a), bytes(r.b)) for r in got} == want and len(got) == len(want) > 50
 
 
+def test_driver_gives_its_heap_back_as_it_outgrows_its_share(spark, monkeypatch):
+    mb = 1 << 20
+    assert people.outgrown(400 * mb, 750 * mb, 0) and people.outgrown(700 * mb, 750 * mb, 600 * mb)
+    assert not people.outgrown(300 * mb, 750 * mb, 0) and not people.outgrown(420 * mb, 750 * mb, 400 * mb)  # small, or all of it alive
+    given = []
+    monkeypatch.setattr(people, "outgrown", lambda *_: True)
+    monkeypatch.setattr(people, "settle", given.append)
+    monkeypatch.setattr(people, "EVERY", 0.1)
+    slow = F.udf(lambda i: __import__("time").sleep(1) or i, "bigint")
+    assert people.written(spark.range(2).repartition(1).select(slow("id").alias("x")), "slow").count() == 2
+    assert len(given) > 3  # while the job ran, and after it
+    before = len(given)
+    assert people.components(spark.createDataFrame([(1, 2), (2, 3)], "a bigint, b bigint")).count() == 3 and len(given) > before
+
+
 def test_retrieval_equals_scoring_every_pair(spark):
     rng = random.Random(7)
     vocabulary = [f"n:w{i}" for i in range(12)] + [f"q:w{i}|f" for i in range(12)] + [f"l:x{i}|f" for i in range(6)] + [f"m:b{i}" for i in range(6)]
