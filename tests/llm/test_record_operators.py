@@ -411,6 +411,18 @@ def test_driver_gives_its_heap_back_as_it_outgrows_its_share(spark, monkeypatch)
     assert people.components(spark.createDataFrame([(1, 2), (2, 3)], "a bigint, b bigint")).count() == 3 and len(given) > before
 
 
+def test_sample_is_drawn_below_a_bound(spark):
+    """The same rows as sorting all, but a task sends no more than its part of twice the sample."""
+    rows = spark.range(0, 40_000, 1, 8).select("id", F.xxhash64("id").alias("o"))
+    assert list(p04.smallest(rows, 100)["id"]) == [r.id for r in rows.orderBy("o").limit(100).collect()]
+    low = rows.filter(F.col("o") <= p04.hashed_below(40_000, 100)).count()
+    assert 100 <= low < 300  # sorting all sends up to 8 * 100 rows
+    few = rows.filter("id < 50")
+    assert len(p04.smallest(few, 100)) == 50 and len(p04.smallest(rows.limit(0), 100)) == 0
+    skewed = rows.filter("o > 0")  # too few below the bound: all are sorted
+    assert list(p04.smallest(skewed, 100)["id"]) == [r.id for r in skewed.orderBy("o").limit(100).collect()]
+
+
 def test_retrieval_equals_scoring_every_pair(spark):
     rng = random.Random(7)
     vocabulary = [f"n:w{i}" for i in range(12)] + [f"q:w{i}|f" for i in range(12)] + [f"l:x{i}|f" for i in range(6)] + [f"m:b{i}" for i in range(6)]
